@@ -272,8 +272,8 @@ def tfidf(spark, sf_dir):
 @query
 def similar_pairs(spark, sf_dir):
     lines = inputs.all_lines(spark, sf_dir).withColumn("tokens", F.array_sort(text.cluster_tokens("content")))
-    bags = lines.groupBy("tokens").agg(F.min("line_id").alias("line_id"))
     scratch = Scratch(spark, "query-pairs")
+    bags = scratch.save(lines.groupBy("tokens").agg(F.min("line_id").alias("line_id")), "bags")
     weights = scratch.save(vectors.tfidf(bags), "vectors")
     pairs = vectors.similar_pairs(weights, eps=0.3)
     return pairs.select("a", "b", F.round("cos", 6).alias("cos"))

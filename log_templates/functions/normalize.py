@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from log_templates.functions.text import (
     PLACEHOLDER,
     as_column,
+    bind,
     collapse_ws,
     count_of,
     is_digit_heavy,
@@ -51,9 +52,10 @@ def _is_path(token: Column) -> Column:
 
 def _is_dotted_name(token: Column) -> Column:
     return (
-        token.rlike(r"^[a-z0-9-][a-z0-9.-]*\.[a-z]+\z")
-        & ~F.contains(token, F.lit(".."))
+        F.contains(token, F.lit("."))
         & (count_of(token, ".") >= 2)
+        & ~F.contains(token, F.lit(".."))
+        & token.rlike(r"^[a-z0-9-][a-z0-9.-]*\.[a-z]+\z")
     )
 
 
@@ -89,9 +91,9 @@ def _words(text: Column, ruleset: str, user_strings: Iterable[str]) -> Column:
             variable = token.rlike(r"(?U)^\d+\z")
         if names:
             word = token if ruleset == "large" else F.lower(token)
-            variable = variable | word.isin(names)
+            variable = word.isin(names) | variable
         glued = F.contains(token, F.lit(PLACEHOLDER)) & ~F.contains(token, F.lit("/"))
-        return F.when(variable | glued, PLACEHOLDER).otherwise(token)
+        return F.when(glued | variable, PLACEHOLDER).otherwise(token)
 
     return F.array_join(F.transform(_cut(text, TOKEN_ENDS), rule), "")
 
@@ -179,24 +181,31 @@ def normalized(
     if ruleset != "light":
         text = _paths(text, ruleset)
     text = _words(text, ruleset, user_strings)
+    # Merging concerns texts with a placeholder only.
+    return bind(
+        text,
+        lambda t: F.when(F.contains(t, F.lit(PLACEHOLDER)), _merged(t, ruleset)).otherwise(t),
+    )
+
+
+def _merged(text: Column, ruleset: str) -> Column:
+    """Join neighbouring placeholders by the separators of a rule set, in its order."""
     text = _merge_runs(_merge_runs(text, r"\."), "")
     if ruleset == "base":
         text = _merge_runs(_merge_runs(text, ":"), "/")
-        text = F.replace(text, F.lit(" -<*>"), F.lit(" <*>"))
-        text = _units(text)
-    elif ruleset == "large":
-        text = _unwrap_hashes(text)
+        return _units(F.replace(text, F.lit(" -<*>"), F.lit(" <*>")))
+    if ruleset == "large":
+        text = bind(text, _unwrap_hashes)
         text = _merge_runs(_merge_runs(text, ":"), "/")
         text = _merge_runs(_hash_before(text), ":")
         for separator in ("#", "/", "@", r"\."):
             text = _merge_runs(text, separator)
-        text = _units(_merge_runs(_quoted(text), ""))
-    elif ruleset == "light":
-        text = F.regexp_replace(text, r"(?<= )#<\*>#(?= )", PLACEHOLDER)
-        text = _hash_before(text)
+        return _units(_merge_runs(_quoted(text), ""))
+    if ruleset == "light":
+        text = _hash_before(F.regexp_replace(text, r"(?<= )#<\*>#(?= )", PLACEHOLDER))
         for separator in (":", "#", "/", "@", r"\."):
             text = _merge_runs(text, separator)
-        text = _merge_runs(_quoted(text), "")
+        return _merge_runs(_quoted(text), "")
     return text
 
 

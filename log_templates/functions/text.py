@@ -109,7 +109,9 @@ def cluster_tokens(
         )
 
     kept = F.filter(F.transform(F.split(source, pattern), keep), lambda w: w != "")
-    return F.when(F.size(kept) > 0, kept).otherwise(F.array(mask_numbers(source)))
+    return bind(
+        kept, lambda words: F.when(F.size(words) > 0, words).otherwise(F.array(mask_numbers(source)))
+    )
 
 
 def clean_words(text: Column | str) -> Column:
@@ -126,7 +128,7 @@ def clean_line(text: Column | str) -> Column:
 def format_signature(text: Column | str) -> Column:
     """The sorted distinct characters that are no ASCII letter, digit, comma or space."""
     marks = F.regexp_replace(as_column(text), r"[0-9A-Za-z, ]+", "")
-    return F.array_join(F.array_sort(F.array_distinct(F.split(marks, ""))), "")
+    return F.array_join(F.sort_array(F.array_distinct(F.split(marks, ""))), "")
 
 
 def drop_stop_words(words: Column, stop_words: Iterable[str] = STOP_WORDS) -> Column:
@@ -154,8 +156,7 @@ def is_digit_heavy(token: Column | str) -> Column:
     """At least four digits, or no capital and digits above three tenths of the length."""
     word = as_column(token)
     digits = F.length(F.regexp_replace(word, r"(?U)\D", ""))
-    return (digits >= 4) | (
-        (digits > 0)
-        & ~word.rlike(r"\p{IsUppercase}")
-        & (digits / F.length(word) > 0.3)
+    return has_digit(word) & (
+        (digits >= 4)
+        | (~word.rlike(r"\p{IsUppercase}") & (digits / F.length(word) > 0.3))
     )

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from log_templates.functions.text import (
     TOKEN_SEPARATORS,
+    bind,
     clean_words,
     cluster_tokens,
     drop_stop_words,
@@ -47,14 +48,14 @@ def density_clusters(
     by = list(by)
     scratch = scratch or Scratch(lines.sparkSession, "density")
     copies = F.col(copies_col).cast("bigint") if copies_col else F.lit(1).cast("bigint")
-    bag = F.array_sort(cluster_tokens(content_col, pattern, remove_digits))
+    bag = F.sort_array(cluster_tokens(content_col, pattern, remove_digits))
     bagged = lines.withColumn("_bag", bag)
     bags = scratch.save(
         bagged.groupBy(*by, "_bag").agg(F.min(id_col).alias("bag_id"), F.sum(copies).alias("_copies")),
         "bags",
     )
     vectors = scratch.save(tfidf(bags, "bag_id", "_bag", by, "_copies"), "vectors")
-    pairs = scratch.save(similar_pairs(vectors, eps, "bag_id", by), "pairs")
+    pairs = scratch.save(similar_pairs(vectors, eps, "bag_id", by, scratch=scratch), "pairs")
     both = pairs.select(*by, "a", "b").unionByName(
         pairs.select(*by, F.col("b").alias("a"), F.col("a").alias("b"))
     )
@@ -136,6 +137,7 @@ def token_keys(
     content_col: str = "content",
     copies_col: str | None = None,
     top: int = 3,
+    scratch: Scratch | None = None,
 ) -> DataFrame:
     """Add ``token_key`` and ``signature``: what frequent-token clustering groups by.
 
@@ -146,25 +148,25 @@ def token_keys(
     if granularity not in ("coarse", "fine"):
         raise ValueError("granularity is 'coarse' or 'fine'")
     by = list(by)
+    scratch = scratch or Scratch(lines.sparkSession, "tokenkey")
     copies = F.col(copies_col) if copies_col else F.lit(1)
-    words = clean_words(content_col)
-    cleaned = lines.withColumn("_clean", F.when(F.size(words) > 1, F.array_join(words, " ")))
-    distinct = (
-        cleaned.where(F.col("_clean").isNotNull())
-        .groupBy(*by, "_clean")
-        .agg(F.sum(copies).alias("_copies"))
+    cleaned = lines.withColumn(
+        "_clean",
+        bind(clean_words(content_col), lambda w: F.when(F.size(w) > 1, F.array_join(w, " "))),
     )
+    counted = cleaned.groupBy(*by, "_clean").agg(F.sum(copies).alias("_copies"))
+    distinct = scratch.save(counted.where(F.col("_clean").isNotNull()), "cleaned")
     counts = token_counts(distinct, by, F.split("_clean", " "), F.col("_copies"))
     kept = drop_stop_words(F.split("_clean", " "))
     ranked = (
         distinct.select(*by, "_clean", F.explode(F.array_distinct(kept)).alias("token"))
         .join(counts, [*by, "token"])
         .groupBy(*by, "_clean")
-        .agg(F.array_sort(F.collect_list(F.struct((-F.col("occurrence")).alias("o"), "token"))).alias("_all"))
+        .agg(F.sort_array(F.collect_list(F.struct((-F.col("occurrence")).alias("o"), "token"))).alias("_all"))
         .select(
             *by,
             "_clean",
-            F.array_sort(F.transform(F.slice("_all", 1, top), lambda t: t["token"])).alias("_top"),
+            F.sort_array(F.transform(F.slice("_all", 1, top), lambda t: t["token"])).alias("_top"),
         )
     )
     keys = distinct.select(*by, "_clean").join(ranked, [*by, "_clean"], "left").select(
@@ -193,7 +195,7 @@ def token_key_clusters(
     by = list(by)
     scratch = scratch or Scratch(lines.sparkSession, "tokenkey")
     keyed = scratch.save(
-        token_keys(lines, granularity, by, content_col, copies_col), "token-keys"
+        token_keys(lines, granularity, by, content_col, copies_col, scratch=scratch), "token-keys"
     )
     groups = (
         keyed.where(F.col("token_key").isNotNull())

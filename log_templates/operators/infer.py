@@ -73,7 +73,7 @@ def gather_batches(
     content_col: str = "content",
 ) -> DataFrame:
     """One row per cluster: ``batch``, its sampled lines in order, and the first line's id."""
-    ordered = F.array_sort(F.collect_list(F.struct("pos", id_col, content_col)))
+    ordered = F.sort_array(F.collect_list(F.struct("pos", id_col, content_col)))
     return (
         batches.groupBy(*by, "cluster_id")
         .agg(ordered.alias("_rows"))

@@ -105,7 +105,7 @@ def _match_by_lookup(
     lines: DataFrame, candidates: DataFrame, by: list[str], flat: Column, length_gate: bool
 ) -> DataFrame:
     """Narrow plan: lines stay where they are, templates come as sorted arrays."""
-    sorted_list = F.array_sort(F.collect_list("candidate"))
+    sorted_list = F.sort_array(F.collect_list("candidate"))
     with_head = candidates.where(F.col("_head").isNotNull())
     by_head = with_head.groupBy(*by, "_n", "_head").agg(sorted_list.alias("_named"))
     open_head = candidates.where(F.col("_head").isNull())

@@ -52,7 +52,7 @@ def build_prompts(
         )
         texts = (
             demonstrations.groupBy(*by, "cluster_id")
-            .agg(F.array_sort(F.collect_list(F.struct((-F.col("rank")).alias("o"), shown.alias("t")))).alias("_d"))
+            .agg(F.sort_array(F.collect_list(F.struct((-F.col("rank")).alias("o"), shown.alias("t")))).alias("_d"))
             .select(*by, "cluster_id", F.array_join(F.transform("_d", lambda d: d["t"]), "").alias("_demos"))
         )
         query = F.when(F.col("_demos").isNotNull(), F.concat("_demos", quoted)).otherwise(

@@ -10,13 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from log_templates.functions.text import word_tokens
-from log_templates.operators.vectors import dot, packed, tfidf
+from log_templates.functions.text import bind, word_tokens
+from log_templates.operators.vectors import tfidf
 from log_templates.tables import Scratch
 
 # Clusters up to this many distinct lines are sampled inside one task; larger ones
 # by distributed rounds that give the same lines.
-GROUP_ROWS = 2_000
+GROUP_ROWS = 20_000
 # Scores are compared at this many decimals, ties go to the earlier line.
 DECIMALS = 9
 
@@ -133,82 +133,89 @@ def _diverse_large(
 ) -> DataFrame:
     """Clusters of any size: k rounds, each one pass over the vectors and one best line.
 
-    A pass folds the picks of the cluster over a line to get the volume it still
-    adds; the best line is found with partial aggregation, so no cluster is ever
-    gathered in one place.
+    A pass joins the vectors with the few terms of the lines picked so far, sums
+    the products per line, and folds them into the volume the line still adds.
+    The best line is found with partial aggregation, so no cluster is ever
+    gathered in one place, and nothing line-sized is kept between rounds.
     """
-    empty = F.array().cast("array<struct<term:string,weight:double>>")
     base = scratch.save(
-        lines.select(*keys, id_col)
-        .join(packed(vectors, id_col, keys), [*keys, id_col], "left")
-        .withColumn("items", F.coalesce("items", empty)),
-        "volume-base",
+        lines.select(*keys, id_col).join(vectors, [*keys, id_col], "left"), "volume-base"
     )
-    pick_type = "array<struct<items:array<struct<term:string,weight:double>>,factors:array<double>,scale:double>>"
-    no_factors = F.array().cast("array<double>")
     picks = None
     for step in range(k):
-        scored = base
         if picks is None:
-            scored = scored.withColumn("_picks", F.array().cast(pick_type))
+            products, known = base, None
         else:
-            gathered = picks.groupBy(*keys).agg(
-                F.array_sort(F.collect_list(F.struct("step", "items", "factors", "scale"))).alias("_all"),
-                F.collect_list(id_col).alias("_taken"),
+            terms = picks.select(*keys, "step", "term", F.col("weight").alias("_pw"))
+            products = base.join(terms, [*keys, "term"], "left")
+            known = (
+                picks.select(*keys, "step", id_col, "factors", "scale")
+                .distinct()
+                .groupBy(*keys)
+                .agg(
+                    F.sort_array(F.collect_list(F.struct("step", "factors", "scale"))).alias("_picks"),
+                    F.collect_list(id_col).alias("_taken"),
+                )
             )
+        sums = products.groupBy(*keys, id_col).agg(
+            F.max(F.when(F.col("weight") > 0, 1.0).otherwise(0.0)).alias("_one"),
+            *[
+                F.sum(F.when(F.col("step") == t, F.col("weight") * F.col("_pw")).otherwise(0.0)).alias(f"_s{t}")
+                for t in range(step)
+            ],
+        )
+        start = F.struct(F.array().cast("array<double>").alias("factors"), F.col("_one").alias("left"))
+        if known is None:
+            scored = sums.withColumn("_volume", start)
+        else:
+            dots = F.array(*[F.col(f"_s{t}") for t in range(step)])
             scored = (
-                scored.join(gathered, keys)
+                sums.join(known, keys)
                 .where(~F.array_contains("_taken", F.col(id_col)))
                 .withColumn(
-                    "_picks",
-                    F.transform("_all", lambda p: F.struct(p["items"], p["factors"], p["scale"])),
+                    "_volume",
+                    F.aggregate(F.zip_with(dots, "_picks", _pair), start, _shrink),
                 )
             )
-        start = F.struct(
-            no_factors.alias("factors"),
-            F.when(F.size("items") > 0, 1.0).otherwise(0.0).alias("left"),
+        best = scored.groupBy(*keys).agg(
+            F.min_by(
+                F.struct(id_col, "_volume"), F.struct(-F.round("_volume.left", DECIMALS), F.col(id_col))
+            ).alias("_best")
         )
-
-        def fold(state: Column, pick: Column) -> Column:
-            known = F.aggregate(
-                F.zip_with(state["factors"], pick["factors"], lambda x, y: x * y),
-                F.lit(0.0),
-                lambda acc, x: acc + x,
-            )
-            factor = F.when(
-                pick["scale"] > 0, (dot(F.col("items"), pick["items"]) - known) / pick["scale"]
-            ).otherwise(0.0)
-            return F.transform(
-                F.array(factor),
-                lambda f: F.struct(
-                    F.concat(state["factors"], F.array(f)).alias("factors"),
-                    F.greatest(state["left"] - f * f, F.lit(0.0)).alias("left"),
-                ),
-            )[0]
-
-        volume = scored.withColumn("_volume", F.aggregate("_picks", start, fold))
-        best = (
-            volume.groupBy(*keys)
-            .agg(
-                F.min_by(
-                    F.struct(id_col, "items", "_volume"),
-                    F.struct(-F.round("_volume.left", DECIMALS), F.col(id_col)),
-                ).alias("_best")
-            )
-            .select(
-                *keys,
-                F.lit(step).alias("step"),
-                F.col(f"_best.{id_col}").alias(id_col),
-                F.col("_best.items").alias("items"),
-                F.col("_best._volume.factors").alias("factors"),
-                F.when(
-                    F.col("_best._volume.left") > 10.0**-DECIMALS, F.sqrt("_best._volume.left")
-                ).otherwise(0.0).alias("scale"),
-            )
+        enough = F.col("_best._volume.left") > 10.0**-DECIMALS
+        chosen = best.select(
+            *keys,
+            F.lit(step).alias("step"),
+            F.col(f"_best.{id_col}").alias(id_col),
+            F.col("_best._volume.factors").alias("factors"),
+            F.when(enough, F.sqrt("_best._volume.left")).otherwise(0.0).alias("scale"),
         )
-        best = scratch.save(best, f"volume-{step}")
-        picks = best if picks is None else picks.unionByName(best)
-    return lines.join(picks.select(*keys, id_col), [*keys, id_col], "left_semi")
+        chosen = scratch.save(base.join(chosen, [*keys, id_col]), f"volume-{step}")
+        picks = chosen if picks is None else picks.unionByName(chosen)
+    return lines.join(picks.select(*keys, id_col).distinct(), [*keys, id_col], "left_semi")
+
+
+def _pair(product: Column, pick: Column) -> Column:
+    return F.struct(
+        product.alias("product"), pick["factors"].alias("factors"), pick["scale"].alias("scale")
+    )
+
+
+def _shrink(state: Column, pick: Column) -> Column:
+    """Take away the part of the volume that lies along one picked line."""
+    known = F.aggregate(
+        F.zip_with(state["factors"], pick["factors"], lambda x, y: x * y),
+        F.lit(0.0),
+        lambda acc, x: acc + x,
+    )
+    factor = F.when(pick["scale"] > 0, (pick["product"] - known) / pick["scale"]).otherwise(0.0)
+    return bind(
+        factor,
+        lambda f: F.struct(
+            F.concat(state["factors"], F.array(f)).alias("factors"),
+            F.greatest(state["left"] - f * f, F.lit(0.0)).alias("left"),
+        ),
+    )
 
 
 def _diverse(

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from log_templates.functions.text import word_tokens
+from log_templates.functions.text import bind, word_tokens
+from log_templates.tables import Scratch
 
 # A term in more vectors than this is split by a second term when it is a blocking key.
 HOT_TERM = 1_000
@@ -74,14 +75,16 @@ def dot(left: Column, right: Column) -> Column:
         )
 
     return F.aggregate(
-        F.array_sort(F.concat(left, right)), start, fold, lambda state: state["total"]
+        F.sort_array(F.concat(left, right)), start, fold, lambda state: state["total"]
     )
 
 
-def packed(vectors: DataFrame, id_col: str, by: Sequence[str] = ()) -> DataFrame:
-    """One row per vector: ``items``, its ``(term, weight)`` array."""
-    return vectors.groupBy(*by, id_col).agg(
-        F.collect_list(F.struct("term", "weight")).alias("items")
+def _key(one: Column, two: Column | None = None) -> Column:
+    """A blocking key and the weight of its first term."""
+    second = F.lit("") if two is None else two["term"]
+    return F.struct(
+        F.struct(one["term"].alias("one"), second.alias("two")).alias("key"),
+        one["weight"].alias("weight"),
     )
 
 
@@ -94,11 +97,17 @@ def _probe_keys(items: Column, eps: float, cos: float, hot: int) -> Column:
     ``cos`` alone.
     """
     heavy = F.filter(items, lambda i: i["weight"] > eps * 1.0001)
-    single = F.struct(F.get(heavy, F.lit(0))["term"].alias("one"), F.lit("").alias("two"))
-    double = F.struct(F.get(heavy, F.lit(0))["term"].alias("one"), F.get(heavy, F.lit(1))["term"].alias("two"))
-    by_heavy = F.array(F.when((F.get(heavy, F.lit(0))["df"] > hot) & (F.size(heavy) > 1), double).otherwise(single))
+    by_heavy = bind(
+        heavy,
+        lambda h: F.array(
+            F.when(
+                (F.get(h, F.lit(0))["df"] > hot) & (F.size(h) > 1),
+                _key(F.get(h, F.lit(0)), F.get(h, F.lit(1))),
+            ).otherwise(_key(F.get(h, F.lit(0))))
+        ),
+    )
     start = F.struct(
-        F.array().cast("array<struct<one:string,two:string>>").alias("keys"),
+        F.array().cast("array<struct<key:struct<one:string,two:string>,weight:double>>").alias("keys"),
         F.lit(1.0).alias("rest"),
     )
     by_prefix = F.aggregate(
@@ -106,16 +115,13 @@ def _probe_keys(items: Column, eps: float, cos: float, hot: int) -> Column:
         start,
         lambda state, item: F.when(state["rest"] < cos * cos * 0.9999, state).otherwise(
             F.struct(
-                F.concat(
-                    state["keys"],
-                    F.array(F.struct(item["term"].alias("one"), F.lit("").alias("two"))),
-                ).alias("keys"),
+                F.concat(state["keys"], F.array(_key(item))).alias("keys"),
                 (state["rest"] - item["weight"] * item["weight"]).alias("rest"),
             )
         ),
         lambda state: state["keys"],
     )
-    return F.when(F.size(heavy) > 0, by_heavy).otherwise(by_prefix)
+    return F.when(F.exists(items, lambda i: i["weight"] > eps * 1.0001), by_heavy).otherwise(by_prefix)
 
 
 def similar_pairs(
@@ -124,51 +130,62 @@ def similar_pairs(
     id_col: str = "line_id",
     by: Sequence[str] = (),
     hot_term: int = HOT_TERM,
+    scratch: Scratch | None = None,
 ) -> DataFrame:
     """Every pair ``a < b`` of unit vectors within Euclidean distance ``eps``: ``a, b, cos``.
 
     Exact.  Pairs are looked up through their blocking keys, so only vectors
-    that share a rare and heavy term are compared.  The keys travel with ids
-    and one weight; the vectors follow for the candidates that are left.
+    that share a rare and heavy term are compared; a pair must be found from both
+    sides, and with weights of the shared term that allow the similarity.  The
+    keys travel with ids and one weight; the vectors follow for the candidates
+    that are left.
     """
     by = list(by)
     cos = 1 - eps * eps / 2
+    scratch = scratch or Scratch(vectors.sparkSession, "pairs")
     per_term = vectors.groupBy(*by, "term").agg(F.count("*").alias("df"))
-    packs = (
+    packs = scratch.save(
         vectors.join(per_term, [*by, "term"])
         .groupBy(*by, id_col)
-        .agg(F.array_sort(F.collect_list(F.struct("df", "term", "weight"))).alias("ranked"))
+        .agg(F.sort_array(F.collect_list(F.struct("df", "term", "weight"))).alias("ranked")),
+        "packs",
     )
     probes = packs.select(
-        *by, F.col(id_col).alias("a"), F.explode(_probe_keys(F.col("ranked"), eps, cos, hot_term)).alias("key")
-    )
+        *by, F.col(id_col).alias("a"), F.explode(_probe_keys(F.col("ranked"), eps, cos, hot_term)).alias("p")
+    ).select(*by, "a", "p.key", F.col("p.weight").alias("_wa"))
     wanted = probes.select(*by, "key").distinct()
-    singles = F.transform(
-        "ranked", lambda i: F.struct(i["term"].alias("one"), F.lit("").alias("two"))
-    )
+    singles = F.transform("ranked", lambda i: _key(i))
     doubles = F.flatten(
         F.transform(
             F.filter("ranked", lambda i: i["df"] > hot_term),
-            lambda i: F.transform(
-                F.filter("ranked", lambda j: j > i),
-                lambda j: F.struct(i["term"].alias("one"), j["term"].alias("two")),
-            ),
+            lambda i: F.transform(F.filter("ranked", lambda j: j > i), lambda j: _key(i, j)),
         )
     )
-    owners = packs.select(
-        *by, F.col(id_col).alias("b"), F.explode(F.concat(singles, doubles)).alias("key")
-    ).join(wanted, [*by, "key"], "left_semi")
-    candidates = (
+    owners = (
+        packs.select(*by, F.col(id_col).alias("b"), F.explode(F.concat(singles, doubles)).alias("p"))
+        .select(*by, "b", "p.key", F.col("p.weight").alias("_wb"))
+        .join(wanted, [*by, "key"], "left_semi")
+    )
+    # What the shared term and the rest of both vectors can give at most.
+    most = F.col("_wa") * F.col("_wb") + F.sqrt(
+        F.greatest((1 - F.col("_wa") * F.col("_wa")) * (1 - F.col("_wb") * F.col("_wb")), F.lit(0.0))
+    )
+    candidates = scratch.save(
         probes.join(owners, [*by, "key"])
-        .where(F.col("a") != F.col("b"))
-        .select(*by, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
+        .where((F.col("a") != F.col("b")) & (most >= cos - 1e-6))
+        .groupBy(*by, F.least("a", "b").alias("_lower"), F.greatest("a", "b").alias("_upper"))
+        .agg(F.bool_or(F.col("a") < F.col("b")).alias("_up"), F.bool_or(F.col("a") > F.col("b")).alias("_down"))
+        .where(F.col("_up") & F.col("_down"))
+        .select(*by, F.col("_lower").alias("a"), F.col("_upper").alias("b")),
+        "candidates",
     )
     items = packs.select(
         *by,
         F.col(id_col).alias("_id"),
-        F.transform(
-            "ranked", lambda i: F.struct(i["term"].alias("term"), i["weight"].alias("weight"))
+        F.sort_array(
+            F.transform(
+                "ranked", lambda i: F.struct(i["term"].alias("term"), i["weight"].alias("weight"))
+            )
         ).alias("_items"),
     )
     left = items.withColumnsRenamed({"_id": "a", "_items": "_left"})
