@@ -29,6 +29,10 @@ TOKEN_ENDS = PATH_ENDS + r".\-+@#$%&"
 # Words that always stand for a variable.
 VARIABLE_WORDS = ("true", "false", "null", "root", "admin")
 
+# What a text must hold for the path rules or the word rules to change it.
+PATH_HINT = r"/|\.[a-z0-9-]+\."
+WORD_HINT = r"\d|<\*>|" + "|".join(VARIABLE_WORDS)
+
 RULESETS = ("base", "large", "oracle", "light", "general")
 
 
@@ -178,9 +182,15 @@ def normalized(
     if ruleset == "general":
         return _general(source)
     text = collapse_ws(source)
+    # Most texts hold nothing a rule applies to; one look saves cutting them up.
     if ruleset != "light":
-        text = _paths(text, ruleset)
-    text = _words(text, ruleset, user_strings)
+        text = bind(
+            text, lambda t: F.when(t.rlike(PATH_HINT), _paths(t, ruleset)).otherwise(t)
+        )
+    hint = "|".join([WORD_HINT, *(rf"\Q{name}\E" for name in user_strings)])
+    text = bind(
+        text, lambda t: F.when(t.rlike(f"(?iU){hint}"), _words(t, ruleset, user_strings)).otherwise(t)
+    )
     # Merging concerns texts with a placeholder only.
     return bind(
         text,

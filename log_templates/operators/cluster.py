@@ -52,7 +52,7 @@ def density_clusters(
     bagged = lines.withColumn("_bag", bag)
     bags = scratch.save(
         bagged.groupBy(*by, "_bag").agg(F.min(id_col).alias("bag_id"), F.sum(copies).alias("_copies")),
-        "bags",
+        "bags", wide=True
     )
     vectors = scratch.save(tfidf(bags, "bag_id", "_bag", by, "_copies"), "vectors")
     pairs = scratch.save(similar_pairs(vectors, eps, "bag_id", by, scratch=scratch), "pairs")
@@ -155,7 +155,7 @@ def token_keys(
         bind(clean_words(content_col), lambda w: F.when(F.size(w) > 1, F.array_join(w, " "))),
     )
     counted = cleaned.groupBy(*by, "_clean").agg(F.sum(copies).alias("_copies"))
-    distinct = scratch.save(counted.where(F.col("_clean").isNotNull()), "cleaned")
+    distinct = scratch.save(counted.where(F.col("_clean").isNotNull()), "cleaned", wide=True)
     counts = token_counts(distinct, by, F.split("_clean", " "), F.col("_copies"))
     kept = drop_stop_words(F.split("_clean", " "))
     ranked = (
@@ -195,7 +195,7 @@ def token_key_clusters(
     by = list(by)
     scratch = scratch or Scratch(lines.sparkSession, "tokenkey")
     keyed = scratch.save(
-        token_keys(lines, granularity, by, content_col, copies_col, scratch=scratch), "token-keys"
+        token_keys(lines, granularity, by, content_col, copies_col, scratch=scratch), "token-keys", wide=True
     )
     groups = (
         keyed.where(F.col("token_key").isNotNull())
@@ -262,7 +262,7 @@ def cluster_logs(
     shared = {"by": by, "id_col": id_col, "content_col": content_col, "scratch": scratch}
     if method == "density":
         found = density_clusters(lines, copies_col=copies_col, **shared, **options)
-        return regroup_noise(scratch.save(found, "density"), **shared)
+        return regroup_noise(scratch.save(found, "density", wide=True), **shared)
     if method == "token_key":
         return token_key_clusters(lines, copies_col=copies_col, **shared, **options)
     if method == "mean_shift":

@@ -177,7 +177,7 @@ def mean_shift_clusters(
     masked = lines.withColumn("_masked", mask_numbers(content_col))
     texts = scratch.save(
         masked.groupBy(*by, "_masked").agg(F.min(id_col).alias("point"), F.sum(copies).alias("copies")),
-        "texts",
+        "texts", wide=True
     )
     tokens = texts.withColumn("_tokens", word_tokens("_masked"))
     vectors = scratch.save(tfidf(tokens, "point", "_tokens", by, "copies"), "vectors")

@@ -45,7 +45,7 @@ def sample_batches(
         picked = _random(lines, keys, batch_size, content_col, seed)
     elif method in ("diverse", "similar"):
         scratch = scratch or Scratch(clusters.sparkSession, "sample")
-        lines = scratch.save(lines, "distinct")
+        lines = scratch.save(lines, "distinct", wide=True)
         sizes = lines.groupBy(*keys).agg(F.count("*").alias("_size"))
         sized = lines.join(sizes, keys)
         small = sized.where(F.col("_size") <= batch_size).drop("_size")
@@ -227,7 +227,7 @@ def _diverse(
     group_rows: int,
     scratch: Scratch,
 ) -> DataFrame:
-    lines = scratch.save(sized.withColumn("tokens", word_tokens(content_col)), "to-sample")
+    lines = scratch.save(sized.withColumn("tokens", word_tokens(content_col)), "to-sample", wide=True)
     largest = lines.agg(F.max("_size")).first()[0] or 0
     small = lines.where(F.col("_size") <= group_rows)
     wanted = [*keys, content_col, id_col]

@@ -147,12 +147,20 @@ def similar_pairs(
     packs = scratch.save(
         vectors.join(per_term, [*by, "term"])
         .groupBy(*by, id_col)
-        .agg(F.sort_array(F.collect_list(F.struct("df", "term", "weight"))).alias("ranked")),
+        .agg(
+            F.sort_array(F.collect_list(F.struct("df", "term", "weight"))).alias("ranked"),
+            F.count("*").alias("terms"),
+            F.sum("weight").alias("total"),
+        ),
         "packs",
     )
     probes = packs.select(
-        *by, F.col(id_col).alias("a"), F.explode(_probe_keys(F.col("ranked"), eps, cos, hot_term)).alias("p")
-    ).select(*by, "a", "p.key", F.col("p.weight").alias("_wa"))
+        *by,
+        F.col(id_col).alias("a"),
+        F.col("terms").alias("_na"),
+        F.col("total").alias("_ta"),
+        F.explode(_probe_keys(F.col("ranked"), eps, cos, hot_term)).alias("p"),
+    ).select(*by, "a", "_na", "_ta", "p.key", F.col("p.weight").alias("_wa"))
     wanted = probes.select(*by, "key").distinct()
     singles = F.transform("ranked", lambda i: _key(i))
     doubles = F.flatten(
@@ -162,22 +170,31 @@ def similar_pairs(
         )
     )
     owners = (
-        packs.select(*by, F.col(id_col).alias("b"), F.explode(F.concat(singles, doubles)).alias("p"))
-        .select(*by, "b", "p.key", F.col("p.weight").alias("_wb"))
+        packs.select(
+            *by,
+            F.col(id_col).alias("b"),
+            F.col("terms").alias("_nb"),
+            F.col("total").alias("_tb"),
+            F.explode(F.concat(singles, doubles)).alias("p"),
+        )
+        .select(*by, "b", "_nb", "_tb", "p.key", F.col("p.weight").alias("_wb"))
         .join(wanted, [*by, "key"], "left_semi")
     )
     # What the shared term and the rest of both vectors can give at most.
     most = F.col("_wa") * F.col("_wb") + F.sqrt(
         F.greatest((1 - F.col("_wa") * F.col("_wa")) * (1 - F.col("_wb") * F.col("_wb")), F.lit(0.0))
     )
+    # Weights that differ in sum by more than this cannot be within eps (Cauchy-Schwarz).
+    gap = F.col("_ta") - F.col("_tb")
+    same_length = gap * gap <= (eps * eps + 1e-6) * (F.col("_na") + F.col("_nb"))
     candidates = scratch.save(
         probes.join(owners, [*by, "key"])
-        .where((F.col("a") != F.col("b")) & (most >= cos - 1e-6))
+        .where((F.col("a") != F.col("b")) & same_length & (most >= cos - 1e-6))
         .groupBy(*by, F.least("a", "b").alias("_lower"), F.greatest("a", "b").alias("_upper"))
         .agg(F.bool_or(F.col("a") < F.col("b")).alias("_up"), F.bool_or(F.col("a") > F.col("b")).alias("_down"))
         .where(F.col("_up") & F.col("_down"))
         .select(*by, F.col("_lower").alias("a"), F.col("_upper").alias("b")),
-        "candidates",
+        "candidates", wide=True
     )
     items = packs.select(
         *by,

@@ -43,11 +43,13 @@ class Scratch:
         self.path = f"{scratch_root(spark)}/log_templates/{label}-{uuid.uuid4().hex}"
         self._count = 0
 
-    def save(self, df: DataFrame, label: str = "step") -> DataFrame:
+    def save(self, df: DataFrame, label: str = "step", wide: bool = False) -> DataFrame:
+        """Write and read back; ``wide`` marks a table of lines that heavy work follows on."""
         self._count += 1
         path = f"{self.path}/{self._count:04d}-{label}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        saved = self.spark.read.schema(df.schema).parquet(path)
+        return spread(saved) if wide else saved
 
 
 def fits_broadcast(
@@ -62,6 +64,17 @@ def fits_broadcast(
     return row["n"] <= max_rows and (row["chars"] or 0) <= max_chars
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core work when a table comes in fewer splits than there are cores.
+
+    A table of many files, as on a cluster, stays as it is: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def number_in_order(
     df: DataFrame,
     order: Sequence[Column],
