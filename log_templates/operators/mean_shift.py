@@ -76,9 +76,13 @@ def _modes(
             F.bit_xor(F.xxhash64("b")).alias("_h1"),
             F.bit_xor(F.xxhash64("b", F.lit(1))).alias("_h2"),
         )
-        same = Window.partitionBy(*by, "_n", "_h1", "_h2")
+        seen = scratch.save(seen, "seen")
+        view = [*by, "_n", "_h1", "_h2"]
         merged = scratch.save(
-            seen.withColumn("rep", F.min("a").over(same)).select(*by, "a", "rep", "reach"), "merged"
+            seen.join(seen.groupBy(*view).agg(F.min("a").alias("rep")), view).select(
+                *by, "a", "rep", "reach"
+            ),
+            "merged",
         )
         heads = merged.where(F.col("a") == F.col("rep")).select(*by, "a", "reach")
         means = scratch.save(

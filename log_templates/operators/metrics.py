@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from log_templates.functions.similarity import template_similarity, token_equal
+from log_templates.tables import Scratch
 
 
 def contingency(
@@ -64,13 +65,14 @@ def _list_size(wanted: DataFrame | None, by: list[str]) -> DataFrame | None:
     )
 
 
-def _attach(df: DataFrame, other: DataFrame, by: list[str]) -> DataFrame:
-    """Join two tables with one row per ``by`` group."""
+def _keyed(
+    table: DataFrame, by: Sequence[str], wanted: DataFrame | None = None
+) -> tuple[DataFrame, list[str], DataFrame | None]:
+    """Without groups, give all rows one common key so that partial scores can be joined."""
     if by:
-        return df.join(other, by, "left")
-    for name in other.columns:
-        df = df.withColumn(name, other.select(name).scalar())
-    return df
+        return table, list(by), wanted
+    wanted = None if wanted is None else wanted.withColumn("_all", F.lit(0))
+    return table.withColumn("_all", F.lit(0)), ["_all"], wanted
 
 
 def grouping_accuracy(
@@ -81,7 +83,8 @@ def grouping_accuracy(
     A truth group counts if all its lines have one parsed template and no other
     line has it.  ``wanted`` restricts the score to a list of truth templates.
     """
-    by = list(by)
+    asked = list(by)
+    table, by, wanted = _keyed(table, by, wanted)
     known = _marked(table, by, wanted)
     truth = known.groupBy(*by, "truth").agg(
         F.sum("lines").alias("_size"),
@@ -101,14 +104,14 @@ def grouping_accuracy(
         F.count("*").alias("_truth"),
     )
     identified = parsed.groupBy(*by).agg(F.count_if("_touched").alias("_identified"))
-    both = _attach(found, identified, by)
+    both = found.join(identified, by, "left")
     if wanted is None:
         both = both.withColumn("_listed", F.col("_truth"))
     else:
-        both = _attach(both, _list_size(wanted, by), by)
+        both = both.join(_list_size(wanted, by), by, "left")
     pga, rga = _share(F.col("_right"), F.col("_identified")), _share(F.col("_right"), F.col("_listed"))
     return both.select(
-        *by,
+        *asked,
         _share(F.col("_lines_right"), F.col("_lines")).alias("ga"),
         pga.alias("pga"),
         rga.alias("rga"),
@@ -180,7 +183,8 @@ def template_accuracy(
     A parsed template is right if all its lines have one true template and both
     are the same text; with ``by_tokens`` the words of the parsed one are abstracted first.
     """
-    by = list(by)
+    asked = list(by)
+    table, by, wanted = _keyed(table, by, wanted)
     known = _marked(table, by, wanted)
     parsed = known.groupBy(*by, "parsed").agg(
         F.count("*").alias("_parts"),
@@ -196,10 +200,10 @@ def template_accuracy(
         size = known.groupBy(*by).agg(F.countDistinct("truth").alias("_listed"))
     else:
         size = _list_size(wanted, by)
-    both = _attach(found, size, by)
+    both = found.join(size, by, "left")
     pta, rta = _share(F.col("_right"), F.col("identified")), _share(F.col("_right"), F.col("_listed"))
     return both.select(
-        *by,
+        *asked,
         "identified",
         F.col("_listed").alias("ground_truth"),
         pta.alias("pta"),
@@ -213,18 +217,22 @@ def all_metrics(
     by: Sequence[str] = (),
     wanted: DataFrame | None = None,
     by_tokens: bool = False,
+    scratch: Scratch | None = None,
 ) -> DataFrame:
-    """Every score per group, side by side."""
-    by = list(by)
+    """Every score per group, side by side.
+
+    The contingency table is written once, so the lines behind it are read once.
+    """
+    scratch = scratch or Scratch(table.sparkSession, "metrics")
+    table, by, wanted = _keyed(table, by, wanted)
+    table = scratch.save(table, "contingency")
     pa = token_accuracy if by_tokens else parsing_accuracy
-    parts = [
-        template_accuracy(table, by, wanted, by_tokens),
+    result = template_accuracy(table, by, wanted, by_tokens)
+    for part in (
         grouping_accuracy(table, by, wanted),
         pa(table, by, wanted),
         edit_distance(table, by),
         similarity_accuracy(table, by),
-    ]
-    result = parts[0]
-    for part in parts[1:]:
-        result = _attach(result, part, by)
-    return result.withColumnRenamed("token_pa", "pa") if by_tokens else result
+    ):
+        result = result.join(part, by, "left")
+    return result.drop("_all").withColumnRenamed("token_pa", "pa")

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 # A side is broadcast only if it has at most this many rows and characters.
 MAX_BROADCAST_ROWS = 200_000
 MAX_BROADCAST_CHARS = 64_000_000
+SPLIT_BYTES = 64 * 1024
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -65,14 +66,16 @@ def fits_broadcast(
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give every core work when a table comes in fewer splits than there are cores.
+    """Split a table that comes in fewer files than its size and the cores allow.
 
-    A table of many files, as on a cluster, stays as it is: no shuffle.
+    Text work is heavy per byte, so a split of `SPLIT_BYTES` is worth a task.  A
+    table of many files, as on a cluster, stays as it is: no shuffle.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    useful = min(df.sparkSession.sparkContext.defaultParallelism, size // SPLIT_BYTES + 1)
+    if len(df.inputFiles()) >= useful:
         return df
-    return df.repartition(cores)
+    return df.repartition(useful)
 
 
 def number_in_order(
