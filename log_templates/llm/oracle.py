@@ -105,4 +105,4 @@ SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
 FROM g
 """
 
-ORACLE = {"op3_exact_dedup": OP3, "op6_minhash": OP6, "op9_temperature_mix": OP9}
+ORACLE = {"op3_exact_dedup": OP3, "op6_minhash": OP6, "op9_temperature_mix": OP9, "op10_warc": OP10}

@@ -10,13 +10,28 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from log_templates.llm.common import Scratch, table
+from log_templates.llm.common import Scratch, remainder, table
 from log_templates.llm.exact_dedup import exact_dedup
+from log_templates.llm.language import identify_languages
+from log_templates.llm.lm import score_texts
 from log_templates.llm.minhash import minhash_components
 from log_templates.llm.mixing import sizes, temperature_mix
 from log_templates.llm.pieces import decode_pieces, encode_pieces, normalised
 from log_templates.llm.quality_rules import quality_rules
-
+from log_templates.llm.rule_ensemble import classify_quality
+from log_templates.llm.url_rules import filter_urls
+from log_templates.llm.warc import round_trip
+
+# fixed values: host, path and verdict of the hand-written url rules
+URL_RULES = (
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+)
+
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -25,10 +40,41 @@ def model_bytes(path: str) -> bytes:
     return Path(path).read_bytes()
 
 
+def op1_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 3) != 1,
+        Scratch(spark, "op1"),
+    )
+
+
+def op2_attention_lm(spark: SparkSession, sf_dir: str, ranks_path: str = RANKS) -> DataFrame:
+    docs, learn = table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 7) != 2
+    return score_texts(docs, learn, model_bytes(str(ranks_path)), Scratch(spark, "op2"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), Scratch(spark, "op3"))
 
 
+def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's label is that of the document whose number its path ends with: bad if low or toxic."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    number = F.regexp_extract("url", "://[^/?#]*/[^?#]*?([0-9]+)[^0-9/?#]*/?(?:[?#].*)?$", 1)
+    labels = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").cast("string").alias("number"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("block")
+    )
+    labelled = pages.select("url", number.alias("number")).join(labels, "number").select("url", "block")
+    return filter_urls(pages, labelled, Scratch(spark, "op4"), URL_RULES).select(
+        "page_id", "_url.host", "_url.path", "_url.rule", "_url.verdict", "_url.confidence"
+    )
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learn = remainder(F.col("doc_id"), 5) != 0
+    found = identify_languages(table(spark, sf_dir, "documents"), learn, Scratch(spark, "op5"))
+    return found.select("doc_id", (~learn).alias("held_out"), "lang_pred", "score")
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_components(table(spark, sf_dir, "documents"), Scratch(spark, "op6"), shingle=3, percent=85)
 
@@ -64,6 +110,15 @@ def op9_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = round_trip(table(spark, sf_dir, "pages"), Scratch(spark, "op10"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_exact_dedup, op6_minhash, op7_quality_rules, op8_pieces, op9_temperature_mix)
+    f.__name__: f
+    for f in (
+        op1_rule_ensemble, op2_attention_lm, op3_exact_dedup, op4_url_rules, op5_language, op6_minhash,
+        op7_quality_rules, op8_pieces, op9_temperature_mix, op10_warc,
+    )
 }
