@@ -90,10 +90,14 @@ class LanguageModel:
 
 
 def _table(rows: DataFrame, languages: list[str], totals: dict[str, int]) -> dict[str, np.ndarray]:
-    """Known entries as log frequencies; what a language lacks counts as half an occurrence."""
+    """Known entries as log frequencies.
+
+    What a language lacks counts as half an occurrence in the largest language, so that a
+    language with few texts does not gain by what it lacks.
+    """
     at = {lang: k for k, lang in enumerate(languages)}
     out: dict[str, np.ndarray] = {}
-    floor = np.log(0.5 / np.array([max(totals.get(lang, 0), 1) for lang in languages]))
+    floor = np.full(len(languages), np.log(0.5 / max(1, *totals.values())))
     for r in rows.toLocalIterator():
         if r["entry"] not in out:
             out[r["entry"]] = floor.copy()

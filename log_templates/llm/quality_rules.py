@@ -118,11 +118,13 @@ def votes(s: Column) -> dict[str, Column]:
         "length": rule(s["n_words"] >= 20, s["n_words"] < 5),
         "word_length": rule((mean >= 3.5) & (mean <= 8), (mean < 2.5) | (mean > 12)),
         "symbols": rule(100 * s["n_symbols"] <= 1 * n, 100 * s["n_symbols"] > 10 * n),
+        "symbol_words": rule(s["n_symbols"] == 0, 4 * s["n_symbols"] > n),
+        "symbol_chars": rule(1000 * s["n_symbols"] <= chars, 20 * s["n_symbols"] > chars),
         "upper": rule(100 * s["n_upper"] <= 10 * chars, 100 * s["n_upper"] > 30 * chars),
         "marks": rule(100 * s["n_marks"] <= 2 * n, 100 * s["n_marks"] > 20 * n),
-        "letters": rule(100 * s["n_plain_words"] <= 5 * n, 100 * s["n_plain_words"] > 20 * n),
+        "letters": rule(100 * s["n_plain_words"] <= 5 * n, 100 * s["n_plain_words"] > 35 * n),
         "line_ends": rule(2 * s["n_ended_lines"] >= lines, 10 * s["n_ended_lines"] < lines),
-        "same_lines": rule(s["n_dup_lines"] == 0, 10 * s["n_dup_lines"] > 3 * lines),
+        "same_lines": rule(s["n_dup_lines"] == 0, 2 * s["n_dup_lines"] > lines),
         "same_words": rule(
             10 * s["n_distinct_words"] >= 3 * n,
             (10 * s["n_distinct_words"] < n) | ((s["n_words"] >= 20) & (5 * s["n_distinct_words"] < n)),
