@@ -457,7 +457,7 @@ def template_summary(spark, sf_dir):
 def parse_documents(spark, sf_dir):
     parsed, _ = parse.parse_logs(
         inputs.document_lines(spark, sf_dir).select("line_id", "content"),
-        options=ParseOptions(clustering="token_key", sample_method="random", max_rounds=3),
+        options=ParseOptions(clustering="token_key", sample_method="random"),
     )
     return parsed.select("line_id", "event_template")
 

@@ -8,6 +8,7 @@ not idempotent, so apply them once.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -178,6 +179,7 @@ def normalized(
     """A template under one of the `RULESETS`."""
     if ruleset not in RULESETS:
         raise ValueError(f"unknown rule set {ruleset!r}, expected one of {RULESETS}")
+    user_strings = tuple(user_strings)  # read more than once below
     source = as_column(template)
     if ruleset == "general":
         return _general(source)
@@ -187,7 +189,7 @@ def normalized(
         text = bind(
             text, lambda t: F.when(t.rlike(PATH_HINT), _paths(t, ruleset)).otherwise(t)
         )
-    hint = "|".join([WORD_HINT, *(rf"\Q{name}\E" for name in user_strings)])
+    hint = "|".join([WORD_HINT, *(re.escape(name) for name in user_strings)])
     text = bind(
         text, lambda t: F.when(t.rlike(f"(?iU){hint}"), _words(t, ruleset, user_strings)).otherwise(t)
     )

@@ -41,27 +41,29 @@ def read_raw_logs(
     return extract_headers(lines, log_format)
 
 
-def _read_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    df = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True)
+def _read_csv(spark: SparkSession, path: str | list[str], multi_line: bool) -> DataFrame:
+    df = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=multi_line)
     return df.withColumnsRenamed(
         {c: COLUMN_NAMES.get(c.lower().replace("_", ""), c.lower()) for c in df.columns}
     )
 
 
-def read_structured_logs(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_structured_logs(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> DataFrame:
     """A structured log with ``line_id, content`` and what else the file has.
 
-    ``EventId`` and ``EventID`` are both read.  Only missing values are null.
+    ``EventId`` and ``EventID`` are both read.  Only missing values are null.  A log
+    has one record per line, so files are split over tasks; ``multi_line`` reads
+    quoted line ends at the price of one task per file.
     """
-    df = _read_csv(spark, path)
+    df = _read_csv(spark, path, multi_line)
     if "line_id" in df.columns:
         return df.withColumn("line_id", F.col("line_id").cast("bigint"))
     return df.withColumn("line_id", F.monotonically_increasing_id())
 
 
-def read_templates(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_templates(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> DataFrame:
     """A template file: ``event_id, event_template`` and ``occurrence`` if present."""
-    df = _read_csv(spark, path)
+    df = _read_csv(spark, path, multi_line)
     if "occurrence" in df.columns:
         df = df.withColumn("occurrence", F.col("occurrence").cast("bigint"))
     return df

@@ -69,11 +69,11 @@ def spread(df: DataFrame) -> DataFrame:
     """Split a table that comes in fewer files than its size and the cores allow.
 
     Text work is heavy per byte, so a split of `SPLIT_BYTES` is worth a task.  A
-    table of many files, as on a cluster, stays as it is: no shuffle.
+    table whose scan already has a task per core, as on a cluster, stays as it is.
     """
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     useful = min(df.sparkSession.sparkContext.defaultParallelism, size // SPLIT_BYTES + 1)
-    if len(df.inputFiles()) >= useful:
+    if df.rdd.getNumPartitions() >= useful:
         return df
     return df.repartition(useful)
 

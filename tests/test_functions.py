@@ -172,3 +172,10 @@ def test_responses(spark):
     df = spark.createDataFrame([(1, "\na {{x}}\nb\na {{y}}\n{{z}}\n")], "id int, response string")
     got = responses.responses_to_templates(df, "id").orderBy("pos").collect()
     assert [(r["pos"], r["event_template"]) for r in got] == [(0, "a <*>"), (1, "b"), (3, "")]
+
+
+def test_user_strings_may_be_a_generator_with_any_characters(spark):
+    frame = spark.createDataFrame([("say hello bob now",), (r"say \E(x now",)], "t string")
+    names = (n for n in ["bob", r"\E(x"])
+    got = [r[0] for r in frame.select(normalized("t", "base", names)).collect()]
+    assert got[0] == "say hello <*> now" and len(got) == 2
