@@ -177,5 +177,5 @@ def test_responses(spark):
 def test_user_strings_may_be_a_generator_with_any_characters(spark):
     frame = spark.createDataFrame([("say hello bob now",), (r"say \E(x now",)], "t string")
     names = (n for n in ["bob", r"\E(x"])
-    got = [r[0] for r in frame.select(normalized("t", "base", names)).collect()]
+    got = [r[0] for r in frame.select(normalize.normalized("t", "base", names)).collect()]
     assert got[0] == "say hello <*> now" and len(got) == 2
