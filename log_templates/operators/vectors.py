@@ -13,6 +13,10 @@ from log_templates.tables import Scratch
 
 # A term in more vectors than this is split by a second term when it is a blocking key.
 HOT_TERM = 1_000
+# Both terms of a pair key are this many times heavier than ``eps`` in the vector that looks
+# up.  They are then heavier than ``PAIR_WEIGHT - 1`` times ``eps`` in every neighbour, and a
+# unit vector has a bounded number of such terms, however long the line.
+PAIR_WEIGHT = 1.5
 # Tolerance at the similarity limit, so that rounding does not decide.
 SLACK = 1e-9
 
@@ -92,18 +96,23 @@ def _probe_keys(items: Column, eps: float, cos: float, hot: int) -> Column:
     """Blocking keys of a vector, one of which every neighbour owns.
 
     A term heavier than ``eps`` is in every neighbour; the rarest such term is
-    enough, with the second one added where the first is hot.  Without such a
+    enough.  Where it is hot, the two rarest terms of `PAIR_WEIGHT` times ``eps`` are
+    one key together, if there are two.  Without such a
     term, the rarest terms up to the point where the rest is too short to reach
     ``cos`` alone.
     """
     heavy = F.filter(items, lambda i: i["weight"] > eps * 1.0001)
+    strong = F.filter(items, lambda i: i["weight"] > eps * PAIR_WEIGHT)
     by_heavy = bind(
         heavy,
-        lambda h: F.array(
-            F.when(
-                (F.get(h, F.lit(0))["df"] > hot) & (F.size(h) > 1),
-                _key(F.get(h, F.lit(0)), F.get(h, F.lit(1))),
-            ).otherwise(_key(F.get(h, F.lit(0))))
+        lambda h: bind(
+            strong,
+            lambda s: F.array(
+                F.when(
+                    (F.get(h, F.lit(0))["df"] > hot) & (F.size(s) > 1),
+                    _key(F.get(s, F.lit(0)), F.get(s, F.lit(1))),
+                ).otherwise(_key(F.get(h, F.lit(0))))
+            ),
         ),
     )
     start = F.struct(
@@ -163,11 +172,13 @@ def similar_pairs(
     ).select(*by, "a", "_na", "_ta", "p.key", F.col("p.weight").alias("_wa"))
     wanted = probes.select(*by, "key").distinct()
     singles = F.transform("ranked", lambda i: _key(i))
-    doubles = F.flatten(
-        F.transform(
-            F.filter("ranked", lambda i: i["df"] > hot_term),
-            lambda i: F.transform(F.filter("ranked", lambda j: j > i), lambda j: _key(i, j)),
-        )
+    floor = eps * (PAIR_WEIGHT - 1) * 0.9999
+    paired = F.filter("ranked", lambda i: (i["df"] > hot_term) & (i["weight"] > floor))
+    doubles = bind(
+        paired,
+        lambda some: F.flatten(
+            F.transform(some, lambda i: F.transform(F.filter(some, lambda j: j > i), lambda j: _key(i, j)))
+        ),
     )
     owners = (
         packs.select(
