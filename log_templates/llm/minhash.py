@@ -9,8 +9,9 @@ from the threshold, so that a pair at the threshold is missed with a probability
 Pairs inside a bucket are not listed.  First the documents of a bucket are compared
 with one leader, the one with most company over all buckets.  Buckets whose
 documents then form one component are done.  In the others only documents outside the
-largest component are compared with the rest, in blocks of bounded size that return
-one link per newly joined pair of components.  So no link between candidates is lost,
+largest component are compared with the rest: small buckets give pairs, each compared
+once however many buckets it is in; large ones are compared in blocks of bounded size
+that return one link per newly joined pair of components.  So no link between candidates is lost,
 no group is capped, and a group of thousands of near copies costs a few passes.
 
 Defined results.  A null or empty text has an empty set and no links.  A text with fewer
@@ -37,6 +38,7 @@ from log_templates.operators.components import connected_components
 
 MISS = 1e-6
 SHINGLE, PERCENT = 5, 80
+SMALL_BUCKET = 16  # buckets of at most so many documents give single pairs, which occur in many buckets
 BLOCK_DOCS, BLOCK_SHINGLES = 400, 200_000  # of one side of a block
 MEMBERS_PER_SALT = 500  # of one leader in one join key
 
@@ -257,7 +259,7 @@ def _open_buckets(members: DataFrame, comps: DataFrame, scratch: Scratch) -> Dat
 
 
 def _remaining(members, comps, texts, scratch: Scratch, size: int, percent: int) -> DataFrame:
-    """Compare, in blocks, what lies outside a bucket's largest component with all of the bucket."""
+    """Compare what lies outside a bucket's largest component with all of the bucket."""
     open_ = _open_buckets(members, comps, scratch)
     per_comp = open_.groupBy("bucket", "comp").agg(
         F.count("*").alias("n"), F.sum("n_shingles").alias("load")
@@ -272,10 +274,22 @@ def _remaining(members, comps, texts, scratch: Scratch, size: int, percent: int)
         return F.greatest(F.ceil(F.col(n) / BLOCK_DOCS), F.ceil(F.col(load) / BLOCK_SHINGLES)).cast("int")
 
     shape = total.join(outer, "bucket").select(
-        "bucket", F.col("top.comp").alias("top"), parts("n", "load").alias("all_parts"),
+        "bucket", "n", F.col("top.comp").alias("top"), parts("n", "load").alias("all_parts"),
         parts("out_n", "out_load").alias("out_parts"),
     )
-    rows = open_.join(shape, "bucket")
+    rows = scratch.save(open_.join(shape, "bucket"), "shaped")
+    small, rows = rows.where(F.col("n") <= SMALL_BUCKET), rows.where(F.col("n") > SMALL_BUCKET)
+    outside = small.where("comp != top").select(
+        "bucket", F.col("doc_id").alias("u"), F.col("comp").alias("cu"), F.col("n_shingles").alias("nu")
+    )
+    pairs = (
+        outside.join(small, "bucket")
+        .where((F.col("cu") != F.col("comp")) & _close("nu", "n_shingles", percent))
+        .select(F.least("u", "doc_id").alias("a"), F.greatest("u", "doc_id").alias("b"))
+        .distinct()
+    )
+    pairs = scratch.save(pairs, "small-pairs")
+    single = _with_texts(pairs, texts).mapInArrow(_confirm(size, percent), "a long, b long")
     place = lambda m: F.pmod(F.xxhash64("doc_id", F.lit("block")), F.col(m)).cast("int")
     seek = rows.where("comp != top").select(
         "bucket", "doc_id", "comp", F.lit(True).alias("seeks"), place("out_parts").alias("i"),
@@ -286,4 +300,5 @@ def _remaining(members, comps, texts, scratch: Scratch, size: int, percent: int)
         F.explode(F.sequence(F.lit(0), F.col("out_parts") - 1)).alias("i"), place("all_parts").alias("j"),
     )
     blocks = seek.unionByName(rest).join(texts, "doc_id")
-    return blocks.groupBy("bucket", "i", "j").applyInPandas(_block_links(size, percent), "a long, b long")
+    blocked = blocks.groupBy("bucket", "i", "j").applyInPandas(_block_links(size, percent), "a long, b long")
+    return single.unionByName(blocked)
