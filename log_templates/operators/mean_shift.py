@@ -195,16 +195,25 @@ def mean_shift_clusters(
     nearest = scratch.save(
         close.groupBy(*by, "a").agg(F.min_by("b", F.struct(F.round("dist", 9), "b")).alias("b")), "nearest"
     )
-    # Points out of range of every centre are compared with all centres that share a term.
+    # Points out of range of every centre are compared with all centres that share a term,
+    # and with the shortest one, which is the nearest of those that share none.
     lone = points.join(nearest, [*by, "a"], "left_anti")
     norms = _squares(centres, [*by, "b"])
-    far = (
+    shared = (
         lone.join(centres.withColumnRenamed("weight", "_wb"), [*by, "term"])
         .groupBy(*by, "a", "b")
         .agg(F.sum(F.col("weight") * F.col("_wb")).alias("_dot"))
         .join(norms, [*by, "b"])
+        .select(*by, "a", "b", (F.col("_sq") - 2 * F.col("_dot")).alias("_off"))
+    )
+    lowest = norms.groupBy(*by).agg(F.min(F.struct("_sq", "b")).alias("_low"))
+    alone = lone.select(*by, "a").distinct()
+    alone = alone.join(lowest, by) if by else alone.withColumn("_low", lowest.select("_low").scalar())
+    plain = alone.select(*by, "a", F.col("_low.b").alias("b"), F.col("_low._sq").alias("_off"))
+    far = (
+        shared.unionByName(plain)
         .groupBy(*by, "a")
-        .agg(F.min_by("b", F.struct(F.round(F.col("_sq") - 2 * F.col("_dot"), 9), "b")).alias("b"))
+        .agg(F.min_by("b", F.struct(F.round("_off", 9), "b")).alias("b"))
     )
     homes = nearest.unionByName(far).select(*by, F.col("a").alias("point"), F.col("b").alias("centre"))
     # Lines without any word have no vector and share one mode at the origin.

@@ -81,6 +81,7 @@ def parse_batch(
     new = change.join(old, "event_template", "left_anti")
     change = change.where(F.col("hits") > 0).unionByName(new.where(F.col("hits") == 0))
     change.write.mode("overwrite").parquet(f"{template_path}/batch_id={batch_id}")
+    scratch.drop()
 
 
 def stream_parse(

@@ -52,6 +52,11 @@ class Scratch:
         saved = self.spark.read.schema(df.schema).parquet(path)
         return spread(saved) if wide else saved
 
+    def drop(self) -> None:
+        """Delete what was written; only after everything read from it has been used."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
 
 def fits_broadcast(
     df: DataFrame,
