@@ -102,9 +102,10 @@ def _first_hit(line: Column, candidates: Column) -> Column:
 
 
 def _match_by_lookup(
-    lines: DataFrame, candidates: DataFrame, by: list[str], flat: Column, length_gate: bool
+    lines: DataFrame, candidates: DataFrame, by: list[str], flat: Column, length_gate: bool, send: bool = True
 ) -> DataFrame:
-    """Narrow plan: lines stay where they are, templates come as sorted arrays."""
+    """Templates come as sorted arrays: broadcast, so that lines stay where they are, or by key."""
+    place = F.broadcast if send else lambda table: table
     sorted_list = F.sort_array(F.collect_list("candidate"))
     with_head = candidates.where(F.col("_head").isNotNull())
     by_head = with_head.groupBy(*by, "_n", "_head").agg(sorted_list.alias("_named"))
@@ -115,8 +116,8 @@ def _match_by_lookup(
         .withColumn("_n", count_flat_words("_flat") if length_gate else F.lit(0))
         .withColumn("_head", F.substring_index("_flat", " ", 1))
     )
-    looked_up = keyed.join(F.broadcast(by_head), [*by, "_n", "_head"], "left").join(
-        F.broadcast(by_count), [*by, "_n"], "left"
+    looked_up = keyed.join(place(by_head), [*by, "_n", "_head"], "left").join(
+        place(by_count), [*by, "_n"], "left"
     )
     best = F.least(
         _first_hit(F.col("_flat"), F.col("_named")), _first_hit(F.col("_flat"), F.col("_open"))
@@ -173,12 +174,15 @@ def match_templates(
     content_col: str = "content",
     length_gate: bool = True,
     max_lookup_rows: int = MAX_LOOKUP_ROWS,
+    aggregate: bool = True,
 ) -> DataFrame:
     """Add ``event_template``: the first known template in (hits, id) order, or null.
 
     A template whose empty placeholders drop counts only if the result is itself
     in the table.  A table of checked size is broadcast as sorted arrays and lines
-    are not shuffled at all; a larger one goes through a salted equi-join.
+    are not shuffled at all; a larger one goes through a salted equi-join.  That join
+    aggregates per line, which a stream cannot: with ``aggregate`` off, lines are
+    joined with the arrays by key instead.
     """
     by = list(by)
     candidates = _candidates(templates, by, length_gate)
@@ -186,8 +190,8 @@ def match_templates(
     small = fits_broadcast(
         templates, ["event_template"], max_lookup_rows, MAX_LOOKUP_CHARS
     )
-    if small:
-        return _match_by_lookup(lines, candidates, by, flat, length_gate)
+    if small or not aggregate:
+        return _match_by_lookup(lines, candidates, by, flat, length_gate, small)
     return _match_by_shuffle(lines, candidates, by, flat, length_gate, id_col)
 
 

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from log_templates.operators.match import MAX_LOOKUP_CHARS, MAX_LOOKUP_ROWS, match_templates
+from log_templates.operators.match import MAX_LOOKUP_ROWS, match_templates
 from log_templates.plans.mine import ParseOptions, empty_templates
 from log_templates.plans.parse import parse_logs
-from log_templates.tables import Scratch, fits_broadcast
+from log_templates.tables import Scratch
 
 
 def stream_match(
@@ -19,15 +19,16 @@ def stream_match(
     templates: DataFrame,
     by: Sequence[str] = (),
     length_gate: bool = True,
+    max_lookup_rows: int = MAX_LOOKUP_ROWS,
 ) -> DataFrame:
     """Add ``event_template`` to a stream from a fixed template table.
 
-    The lookup keeps lines where they are and needs no state; the table must fit
-    the lookup bound of `match_templates`.
+    No state is needed: lines stay where they are, or beyond the lookup bound of
+    `match_templates` are joined with the template arrays by key.
     """
-    if not fits_broadcast(templates, ["event_template"], MAX_LOOKUP_ROWS, MAX_LOOKUP_CHARS):
-        raise ValueError("the template table exceeds the lookup bound; use stream_parse")
-    return match_templates(stream, templates, by, length_gate=length_gate)
+    return match_templates(
+        stream, templates, by, length_gate=length_gate, max_lookup_rows=max_lookup_rows, aggregate=False
+    )
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from log_templates.operators.match import match_templates
@@ -74,12 +75,13 @@ BATCHES = [
 ]
 
 
-def test_stream_match_equals_batch_match(spark, tmp_path):
+@pytest.mark.parametrize("bound", [50_000, 0])
+def test_stream_match_equals_batch_match(spark, tmp_path, bound):
     templates = spark.createDataFrame(
         [(1, "task <*> done by <*>", "task 1 done by w", 1)],
         "template_id bigint, event_template string, reference_log string, hits bigint",
     )
-    matched = stream.stream_match(files_of(spark, tmp_path, BATCHES), templates)
+    matched = stream.stream_match(files_of(spark, tmp_path, BATCHES), templates, max_lookup_rows=bound)
     out = str(tmp_path / "out")
     run(matched.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).option("path", out))
     batch = match_templates(spark.read.parquet(str(tmp_path / "in")), templates)
