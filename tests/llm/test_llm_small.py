@@ -8,11 +8,11 @@ import pytest
 
 pytest.importorskip("log_templates.llm")
 
-from log_templates.llm import attention, pieces, warc
+from log_templates.llm import attention, lm, pieces, warc
 from log_templates.llm.language import words_of
 from log_templates.llm.minhash import bands_for, signatures
 from log_templates.llm.quality_rules import expectation_maximisation
-from log_templates.llm.queries import PIECE_MODEL, model_bytes
+from log_templates.llm.queries import PIECE_MODEL, RANKS, model_bytes
 from log_templates.llm.rule_ensemble import tree_rules
 from log_templates.llm.shingles import WordHashes, overlap, shingle_set
 
@@ -115,6 +115,22 @@ def test_training_learns_a_pattern():
     assert attention.scorer(shape, trainer.flat)(x, y, np.array([0]), np.array([len(y)])).mean() > -0.3
 
 
+def test_rounds_train_on_every_word_once():
+    encoding = lm.tokenizer(model_bytes(str(RANKS)))
+    n = encoding.n_vocab
+    classes = [lm.make_classes(shape, np.zeros(n, np.int64), 1, np.zeros(n, np.int64)) for shape in (lm.OUTER, lm.INNER)]
+    flat = tuple(shape.start(c.log_class) for shape, c in zip((lm.OUTER, lm.INNER), classes, strict=True))
+    model = lm.LanguageModel(1, 1, 1, {}, *classes, flat)
+    texts = [[], [b"one"], [b"w%d" % (k % 50) for k in range(3000)], [b"a", b"bc"] * 9]
+    inside = sum(len(lm.encode_words(encoding, words)[0]) for words in texts)
+    rounds = [lm.learn_texts(texts, model, encoding, nth) for nth in range(lm.ROUNDS)]
+    assert sum(r[0] for r in rounds) == sum(len(words) + 1 for words in texts)  # with the end of each text
+    assert sum(r[1] for r in rounds) == inside
+    for length in (1, 8, 9, 700):
+        parts = [range(length)[attention.stretch(length, nth, 3)] for nth in range(3)]
+        assert [k for p in parts for k in p] == list(range(length))
+
+
 def test_records_round_trip_in_small_chunks():
     made = [
         warc.record(7, 0, "http://a/\nb", "hé".encode(), None, False),
