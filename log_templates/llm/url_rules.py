@@ -29,7 +29,6 @@ from log_templates.tables import fits_broadcast
 
 MIN_SUPPORT, MIN_COUNT = 0.002, 20  # share and number of the labelled urls that have the combination
 MIN_CONFIDENCE = 0.7
-MIN_LIFT = 1.5
 BLOCK, ALLOW = "=block", "=allow"
 
 Rule = tuple[str, str, str]  # host, path, verdict
@@ -81,7 +80,7 @@ def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column,
 
 def mine(
     labelled: DataFrame, url_col: str = "url", block_col: str = "block", min_support: float = MIN_SUPPORT,
-    min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT,
+    min_confidence: float = MIN_CONFIDENCE,
 ) -> DataFrame:
     """`tokens, confidence, index_token` of the rules that say block."""
     verdict = F.when(F.col(block_col), F.lit(BLOCK)).otherwise(F.lit(ALLOW))
@@ -90,9 +89,9 @@ def mine(
     )
     support = max(min_support, MIN_COUNT / max(1, baskets.count()))
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, support), minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.where(
-        (F.col("consequent")[0] == BLOCK) & (F.col("lift") >= min_lift)
-    ).select(F.array_sort("antecedent").alias("tokens"), "confidence")
+    rules = model.associationRules.where(F.col("consequent")[0] == BLOCK).select(
+        F.array_sort("antecedent").alias("tokens"), "confidence"
+    )
     single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
     named = rules.withColumn("token", F.explode("tokens")).join(single, "token")
     return named.groupBy("tokens", "confidence").agg(F.min(F.struct("freq", "token")).alias("rare")).select(

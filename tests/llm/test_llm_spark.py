@@ -212,6 +212,17 @@ def test_url_rules(spark):
     assert filter_urls(pages.where("false"), labelled, Scratch(spark, "t"), rules).count() == 0
 
 
+def test_url_rules_with_a_majority_of_blocked_urls(spark):
+    """Also above a block share of 2/3, and of 1, rules of full confidence are mined."""
+    bad = [(f"https://spam.example.net/en/{k}", True) for k in range(90)]
+    good = [("http://fine.org/about", False)] * 30
+    pages = spark.createDataFrame([(0, bad[0][0]), (1, good[0][0])], "page_id long, url string")
+    for labels, want in ((bad + good, ["block", "allow"]), (bad, ["block", "allow"])):
+        labelled = spark.createDataFrame(labels, "url string, block boolean")
+        got = filter_urls(pages, labelled, Scratch(spark, "t")).orderBy("page_id").collect()
+        assert [r["_url"]["verdict"] for r in got] == want and got[0]["_url"]["confidence"] == 1.0
+
+
 def test_archives(spark):
     html = ["<p>a</p>", "<p>é</p>", None, "", "<p>a</p>", "x" * 100_000]
     frame = spark.createDataFrame([(k, "u", h, 1) for k, h in enumerate(html)] + [(None, None, "<p>a</p>", 1), (5, "u", html[5], 1)], "page_id long, url string, html string, volume int")
