@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from log_templates.llm.common import Scratch, remainder, table
+from log_templates.llm.divergence import source_divergence
 from log_templates.llm.exact_dedup import exact_dedup
+from log_templates.llm.fill_middle import fill_in_middle, restored
 from log_templates.llm.language import identify_languages
 from log_templates.llm.lm import score_texts
 from log_templates.llm.minhash import minhash_components
@@ -115,10 +117,25 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    sha256 = lambda c: F.sha2(c.cast("binary"), 256)
+    return made.select(
+        "doc_id", "_fim.n", "_fim.form", "_fim.prefix_chars", "_fim.middle_chars",
+        sha256(F.col("_fim.output")).alias("output_sha256"),
+        sha256(restored(F.col("_fim.output"), F.col("_fim.form"))).alias("restored_sha256"),
+    )
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"), Scratch(spark, "op13"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_rule_ensemble, op2_attention_lm, op3_exact_dedup, op4_url_rules, op5_language, op6_minhash,
-        op7_quality_rules, op8_pieces, op9_temperature_mix, op10_warc,
+        op7_quality_rules, op8_pieces, op9_temperature_mix, op10_warc, op12_fill_middle,
+        op13_source_divergence,
     )
 }
