@@ -18,6 +18,7 @@ from log_templates.llm.language import identify_languages
 from log_templates.llm.lm import score_texts
 from log_templates.llm.minhash import minhash_components
 from log_templates.llm.mixing import sizes, temperature_mix
+from log_templates.llm.packing import Limits, encode_examples, pack_examples
 from log_templates.llm.pieces import decode_pieces, encode_pieces, normalised
 from log_templates.llm.quality_rules import quality_rules
 from log_templates.llm.rule_ensemble import classify_quality
@@ -34,6 +35,7 @@ URL_RULES = (
 )
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+WORD_MODEL = public_tokenizers.path("word_bpe_49k.json")
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -117,6 +119,17 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str = WORD_MODEL) -> DataFrame:
+    """Every id of a document bears loss; at most 256 pieces share a sequence."""
+    limits = Limits(tokens=2048, segments=256, loss=2048)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = encode_examples(docs, model_bytes(str(tokenizer_path)), limits)
+    return pack_examples(pieces, Scratch(spark, "op11"), limits).select(
+        F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
+        "offset", "segment", "loss_tokens",
+    )
+
+
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
     sha256 = lambda c: F.sha2(c.cast("binary"), 256)
@@ -135,7 +148,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_rule_ensemble, op2_attention_lm, op3_exact_dedup, op4_url_rules, op5_language, op6_minhash,
-        op7_quality_rules, op8_pieces, op9_temperature_mix, op10_warc, op12_fill_middle,
-        op13_source_divergence,
+        op7_quality_rules, op8_pieces, op9_temperature_mix, op10_warc, op11_packing,
+        op12_fill_middle, op13_source_divergence,
     )
 }
