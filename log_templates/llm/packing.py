@@ -372,6 +372,8 @@ def pack_examples(pieces: DataFrame, scratch: Scratch, limits: Limits, cell_rows
         "cell", F.pmod(F.xxhash64("id", "start", F.crc32("ids"), "copy"), F.lit(cells).cast("long"))
     ).drop("copy")
 
+    names = full.columns
+
     def pack_cell(cell: pa.Table) -> pa.Table:
         ids = cell["ids"].combine_chunks()
         data = ids.to_pylist()
@@ -400,7 +402,7 @@ def pack_examples(pieces: DataFrame, scratch: Scratch, limits: Limits, cell_rows
         number = lambda x: pa.array(x, pa.int64())
         return pa.table(
             [taken["id"], number(at), number(size), number(loss), taken["doc_tokens"], pa.array(parts, pa.binary()),
-             number(sequence), number(offset), number(segment)], names=full.columns,
+             number(sequence), number(offset), number(segment)], names=names,
         )
 
     return full.unionByName(dealt.groupBy("cell").applyInArrow(pack_cell, full.schema))
