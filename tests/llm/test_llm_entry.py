@@ -16,7 +16,7 @@ from log_templates.llm.queries import QUERIES
 
 def test_one_query_per_operator_and_the_pipeline():
     names = [n for n in entry.queries() if n.startswith("op") and n.split("_")[0][2:].isdigit()]
-    assert sorted(int(n.split("_")[0][2:]) for n in names) == list(range(1, 11))
+    assert sorted(int(n.split("_")[0][2:]) for n in names) == list(range(1, 14))
     assert "pipeline" in entry.queries() and set(ORACLE) <= set(QUERIES)
 
 
