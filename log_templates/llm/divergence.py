@@ -87,8 +87,11 @@ def _counted(part: pa.RecordBatch) -> tuple[pa.Table, int]:
 
 
 def _merged(tables: list[pa.Table]) -> pa.Table:
+    """One row for each key; rows of a term stand together, so that its text compresses away."""
     both = pa.concat_tables(tables).group_by(["lang", "source", "term"], use_threads=False)
-    return both.aggregate([("n", "sum"), ("docs", "sum")]).rename_columns(["lang", "source", "term", "n", "docs"])
+    made = both.aggregate([("n", "sum"), ("docs", "sum")]).rename_columns(["lang", "source", "term", "n", "docs"])
+    code = made["term"].combine_chunks().dictionary_encode().indices.to_numpy()
+    return made.take(pa.array(np.argsort(code, kind="stable")))
 
 
 def _count_terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,14 +107,17 @@ def _count_terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _merged(waiting).to_batches()
 
 
+def _name(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
 def collapse(docs: DataFrame) -> DataFrame:
     """One row for each distinct text of a language: lang, text and ``held``, its copies in each source.
 
     Copies are counted and dropped before the shuffle; a text that fills a third of the table
     arrives once from each task, and as one small row for each of its sources.
     """
-    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    rows = docs.select(name("lang").alias("lang"), name("source").alias("source"), name("text").alias("text"))
+    rows = docs.select(_name("lang").alias("lang"), _name("source").alias("source"), _name("text").alias("text"))
     keyed = rows.withColumn("digest", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
     copies = keyed.groupBy("lang", "digest", "source").agg(F.count("*").alias("copies"))
     held = copies.groupBy("lang", "digest").agg(F.collect_list(F.struct("source", "copies")).alias("held"))
@@ -119,10 +125,20 @@ def collapse(docs: DataFrame) -> DataFrame:
     return texts.join(held, ["lang", "digest"]).select("lang", "text", "held")
 
 
-def count_terms(collapsed: DataFrame) -> DataFrame:
-    """lang, source, term, n (occurrences) and docs (documents with the term), copies weighted."""
+def count_terms(collapsed: DataFrame, min_docs: int) -> DataFrame:
+    """lang, source, term, n (occurrences) and all_n (those of the language), copies weighted.
+
+    Only terms in at least ``min_docs`` documents of the language.  Tasks send what they have summed
+    to the place of the term, where one pass adds it up by source and by language.
+    """
     sent = collapsed.mapInArrow(_count_terms, "lang string, source string, term string, n long, docs long")
-    return sent.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    placed = sent.repartition(F.col("lang"), F.col("term")).groupBy("lang", "term", "source")
+    counts = placed.agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    term = Window.partitionBy("lang", "term")
+    known = counts.select(
+        "lang", "source", "term", "n", F.sum("n").over(term).alias("all_n"), F.sum("docs").over(term).alias("all_docs")
+    )
+    return known.where(F.col("all_docs") >= min_docs).drop("all_docs")
 
 
 def _share(n: Column, total: Column, terms: Column) -> Column:
@@ -154,14 +170,9 @@ def source_divergence(
     The pair rows are as many as asked for, sources times sources; nothing else grows so: a
     term meets only the sources that have it, everything else is summed by equal counts.
     """
-    collapsed = scratch.save(collapse(docs), "collapsed")
-    counts = scratch.save(count_terms(collapsed), "terms")
-    groups = collapsed.select("lang", F.explode("held.source").alias("source")).distinct()
-
-    kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("all_n"), F.sum("docs").alias("docs"))
-    kept = scratch.save(kept.where(F.col("docs") >= min_docs).drop("docs"), "kept")
-    langs = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("all_n").alias("lang_total"))
-    used = scratch.save(counts.join(kept, ["lang", "term"]).select("lang", "source", "term", "n", "all_n"), "used")
+    used = scratch.save(count_terms(collapse(docs), min_docs), "used")
+    groups = docs.select(_name("lang").alias("lang"), _name("source").alias("source")).distinct()
+    langs = used.groupBy("lang").agg(F.count_distinct("term").alias("terms"), F.sum("n").alias("lang_total"))
     totals = used.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("has"))
     zero = F.lit(0).cast("long")
     groups = groups.join(langs, "lang", "left").join(totals, ["lang", "source"], "left")
