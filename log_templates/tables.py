@@ -43,6 +43,7 @@ class Scratch:
         self.spark = spark
         self.path = f"{scratch_root(spark)}/log_templates/{label}-{uuid.uuid4().hex}"
         self._count = 0
+        self._paths: dict[int, str] = {}
 
     def save(self, df: DataFrame, label: str = "step", wide: bool = False) -> DataFrame:
         """Write and read back; ``wide`` marks a table of lines that heavy work follows on."""
@@ -50,11 +51,21 @@ class Scratch:
         path = f"{self.path}/{self._count:04d}-{label}"
         df.write.parquet(path)
         saved = self.spark.read.schema(df.schema).parquet(path)
-        return spread(saved) if wide else saved
+        saved = spread(saved) if wide else saved
+        self._paths[id(saved)] = path
+        return saved
+
+    def free(self, *saved: DataFrame) -> None:
+        """Delete single steps; only after every table that reads them has been written."""
+        for step in saved:
+            self._delete(self._paths.pop(id(step)))
 
     def drop(self) -> None:
         """Delete what was written; only after everything read from it has been used."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        self._delete(self.path)
+
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
