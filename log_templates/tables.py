@@ -45,11 +45,14 @@ class Scratch:
         self._count = 0
         self._paths: dict[int, str] = {}
 
-    def save(self, df: DataFrame, label: str = "step", wide: bool = False) -> DataFrame:
-        """Write and read back; ``wide`` marks a table of lines that heavy work follows on."""
+    def save(self, df: DataFrame, label: str = "step", wide: bool = False, codec: str | None = None) -> DataFrame:
+        """Write and read back; ``wide`` marks a table of lines that heavy work follows on.
+
+        ``codec`` is a Parquet compression other than the session's, for steps that are mostly bytes.
+        """
         self._count += 1
         path = f"{self.path}/{self._count:04d}-{label}"
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
         saved = self.spark.read.schema(df.schema).parquet(path)
         saved = spread(saved) if wide else saved
         self._paths[id(saved)] = path
