@@ -360,7 +360,7 @@ def pack_examples(pieces: DataFrame, scratch: Scratch, limits: Limits, cell_rows
     A cell is packed in an order given by its content, so a task that is run again gives
     the same sequences.  Sequence numbers are unique and have gaps.
     """
-    pieces = scratch.save(pieces, "pieces")
+    pieces = scratch.save(pieces, "pieces", codec="zstd")
     full = pieces.where(F.col("length") == limits.tokens).select(
         "id", "start", "length", (F.col("length") - F.col("free")).alias("loss_tokens"), "doc_tokens", "ids",
         (F.monotonically_increasing_id() * 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset"),
