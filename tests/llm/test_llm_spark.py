@@ -1,6 +1,7 @@
 """Operators on tables with nulls, empty and long texts, ties, repeats and clashing columns; brute force."""
 
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -237,6 +238,37 @@ def test_archives(spark):
     assert round_trip(frame.where("false"), Scratch(spark, "t")).count() == 0
 
 
+def test_repeated_ids_keep_the_links_of_each_text(spark):
+    words_ = [f"w{k}" for k in range(400)]
+    one, two = " ".join(words_), " ".join(words_[200:] + [f"v{k}" for k in range(200)])
+    rows = [(1, two), (2, one), (5, two + " word"), (5, one + " word"), (5, one + " word"), (None, one), (7, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = minhash_components(frame, Scratch(spark, "t"), 3, 85).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found if r.doc_id) == [(1, 1), (2, 2), (5, 1), (5, 2), (5, 2), (7, 7)]
+    stay = corpus_pipeline.drop_near_copies(spark, frame, "").collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in stay) == sorted([(1, two), (2, one), (0, one), (7, "")])
+
+
+def test_buckets_of_many_sizes(spark):
+    """Groups below and above the size at which pairs are listed, and unlike texts that share passages."""
+    rng = random.Random(4)
+    shared = [f"s{k}" for k in range(30)]
+    rows, n = [], 0
+    for size in (2, 3, 8, 9, 40):
+        body = [f"g{size}x{k}" for k in range(120)]
+        for _ in range(size):
+            text = body.copy()
+            text[rng.randrange(120)] = f"r{n}"
+            rows.append((n, " ".join(text)))
+            n += 1
+    for _ in range(30):
+        rows.append((n, " ".join(shared + [f"u{n}y{k}" for k in range(6)])))
+        n += 1
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = minhash_components(frame, Scratch(spark, "t"), 3, 85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == components(dict(rows), 3, 85)
+
+
 def test_pipeline_equals_brute_force(spark, sf_dir):
     """Rules, copies and near copies by plain loops; the mix by its multiset; ids by the library."""
     sentencepiece = pytest.importorskip("sentencepiece")
