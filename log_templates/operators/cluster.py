@@ -19,10 +19,10 @@ from log_templates.functions.text import (
     drop_stop_words,
     format_signature,
 )
-from log_templates.operators.components import connected_components
 from log_templates.operators.dedupe import token_counts
+from log_templates.operators.density import density_roots
 from log_templates.operators.mean_shift import mean_shift_clusters
-from log_templates.operators.vectors import similar_pairs, tfidf
+from log_templates.operators.vectors import packed_vectors
 from log_templates.tables import Scratch, number_in_order
 
 
@@ -40,61 +40,39 @@ def density_clusters(
 ) -> DataFrame:
     """Density clustering of lines by their constant tokens.
 
-    Lines with equal token bags collapse into one weighted vector first.  A
-    vector is a core if at least ``min_samples`` lines lie within ``eps``; cores
+    Lines with equal token bags collapse into one weighted vector first, known by a digest of
+    the bag.  A vector is a core if at least ``min_samples`` lines lie within ``eps``; cores
     within ``eps`` share a cluster; a border vector joins the lowest cluster
     among its core neighbours.  Clusters are numbered by their first core line.
     """
     by = list(by)
     scratch = scratch or Scratch(lines.sparkSession, "density")
     copies = F.col(copies_col).cast("bigint") if copies_col else F.lit(1).cast("bigint")
-    bag = F.sort_array(cluster_tokens(content_col, pattern, remove_digits))
-    bagged = lines.withColumn("_bag", bag)
+    tokens = F.sort_array(cluster_tokens(content_col, pattern, remove_digits))
+    key = F.sha2(F.to_json("_bag").cast("binary"), 256)
+    keyed = lines.withColumn("_bag", tokens).withColumn("_key", key)
+    keyed = scratch.save(keyed.withColumn("_one", copies), "keyed", wide=True)
     bags = scratch.save(
-        bagged.groupBy(*by, "_bag").agg(F.min(id_col).alias("bag_id"), F.sum(copies).alias("_copies")),
+        keyed.groupBy(*by, "_key").agg(
+            F.min(id_col).alias("id"), F.sum("_one").alias("copies"), F.any_value("_bag").alias("_bag")
+        ),
         "bags", wide=True
     )
-    vectors = scratch.save(tfidf(bags, "bag_id", "_bag", by, "_copies"), "vectors")
-    pairs = scratch.save(similar_pairs(vectors, eps, "bag_id", by, scratch=scratch), "pairs")
-    both = pairs.select(*by, "a", "b").unionByName(
-        pairs.select(*by, F.col("b").alias("a"), F.col("a").alias("b"))
-    )
-    weights = bags.select(*by, F.col("bag_id").alias("b"), F.col("_copies").alias("_near"))
-    reach = both.join(weights, [*by, "b"]).groupBy(*by, F.col("a").alias("bag_id")).agg(
-        F.sum("_near").alias("_near")
-    )
-    cores = scratch.save(
-        bags.join(reach, [*by, "bag_id"], "left")
-        .where(F.col("_copies") + F.coalesce("_near", F.lit(0)) >= min_samples)
-        .select(*by, "bag_id"),
-        "cores",
-    )
-    core_edges = (
-        pairs.select(*by, "a", "b")
-        .join(cores.withColumnRenamed("bag_id", "a"), [*by, "a"], "left_semi")
-        .join(cores.withColumnRenamed("bag_id", "b"), [*by, "b"], "left_semi")
-    )
-    linked = connected_components(core_edges, scratch, by)
-    core_root = cores.join(
-        linked.withColumnRenamed("node", "bag_id"), [*by, "bag_id"], "left"
-    ).select(*by, "bag_id", F.coalesce("component", "bag_id").alias("root"))
-    # A component is named by its smallest core id, which is its first core line.
-    border = (
-        both.join(core_root.withColumnRenamed("bag_id", "b"), [*by, "b"])
-        .join(cores.withColumnRenamed("bag_id", "a"), [*by, "a"], "left_anti")
-        .groupBy(*by, F.col("a").alias("bag_id"))
-        .agg(F.min("root").alias("root"))
-    )
-    rooted = scratch.save(core_root.unionByName(border), "roots")
+    packs = packed_vectors(bags, "id", "_bag", by, "copies", scratch)
+    packs = scratch.save(packs.join(bags.select(*by, "id", "copies"), [*by, "id"]), "packed", wide=True)
+    rooted = density_roots(packs, eps, min_samples, by, scratch)
     numbered = number_in_order(
         rooted.select(*by, "root").distinct(), [F.col("root")], "cluster_id", scratch, by
     )
     labels = (
-        bags.join(rooted, [*by, "bag_id"], "left")
-        .join(numbered, [*by, "root"], "left")
-        .select(*by, "_bag", F.coalesce("cluster_id", F.lit(-1)).cast("bigint").alias("cluster_id"))
+        bags.select(*by, "id", "_key")
+        .join(rooted, [*by, "id"])
+        .join(numbered, [*by, "root"])
+        .select(*by, "_key", F.col("cluster_id").alias("_cluster"))
+    )
+    return keyed.join(labels, [*by, "_key"], "left").select(
+        *lines.columns, F.coalesce("_cluster", F.lit(-1)).cast("bigint").alias("cluster_id")
     )
-    return bagged.join(labels, [*by, "_bag"]).select(*lines.columns, "cluster_id")
 
 
 def regroup_noise(

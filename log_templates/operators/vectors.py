@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from log_templates.functions.text import bind, word_tokens
-from log_templates.tables import Scratch
+from log_templates.tables import Scratch, fits_broadcast
 
 # A term in more vectors than this is split by a second term when it is a blocking key.
 HOT_TERM = 1_000
@@ -17,46 +17,118 @@ HOT_TERM = 1_000
 # up.  They are then heavier than ``PAIR_WEIGHT - 1`` times ``eps`` in every neighbour, and a
 # unit vector has a bounded number of such terms, however long the line.
 PAIR_WEIGHT = 1.5
+# A vocabulary of at most so many terms is sent to the tasks; of a larger one its hot terms are.
+MAX_VOCABULARY = 1_000_000
+HOT_TERMS = 10_000
 # Tolerance at the similarity limit, so that rounding does not decide.
 SLACK = 1e-9
 
 
-def tfidf(
+def packed_vectors(
     docs: DataFrame,
     id_col: str = "line_id",
     tokens_col: str = "tokens",
     by: Sequence[str] = (),
     copies_col: str | None = None,
+    scratch: Scratch | None = None,
 ) -> DataFrame:
-    """``id, term, weight``: tf * (ln((1 + n) / (1 + df)) + 1), unit length per document.
+    """One row per document: ``id, ranked, terms, total`` with ``ranked`` an array of ``(df, term, weight)``.
 
-    ``copies_col`` lets one row stand for several equal documents.  Documents are
-    hashed by id once; term counts and norms then stay inside their partition
-    unless the vocabulary is too large to be broadcast by adaptive execution.
+    Weights are tf * (ln((1 + n) / (1 + df)) + 1) at unit length; ``ranked`` is sorted by
+    the number of rows with the term, ``total`` is the sum of weights.  ``copies_col`` lets one row
+    stand for several equal documents.  Documents are placed by id once, and the weight of a term comes to
+    where they are; only rare terms of a vocabulary too large to be sent are met by a shuffle.
     """
     by = list(by)
+    scratch = scratch or Scratch(docs.sparkSession, "vectors")
     copies = F.col(copies_col).cast("bigint") if copies_col else F.lit(1).cast("bigint")
     placed = docs.select(*by, id_col, F.col(tokens_col).alias("_tokens"), copies.alias("_copies"))
+    found = (
+        placed.select(*by, "_copies", F.explode(F.array_distinct("_tokens")).alias("term"))
+        .groupBy(*by, "term")
+        .agg(F.count("*").alias("df"), F.sum("_copies").alias("_df"))
+    )
+    total = placed.groupBy(*by).agg(F.sum("_copies").alias("_n"))
+    found = found.join(total, by) if by else found.withColumn("_n", total.scalar())
+    idf = F.log((F.col("_n") + 1) / (F.col("_df") + 1)) + 1
+    vocabulary = scratch.save(found.select(*by, "term", "df", idf.alias("_idf")), "vocabulary")
     tf = (
         placed.repartition(id_col)
-        .select(*by, id_col, "_copies", F.explode("_tokens").alias("term"))
+        .select(*by, id_col, F.explode("_tokens").alias("term"))
         .groupBy(*by, id_col, "term")
-        .agg(F.count("*").alias("_tf"), F.first("_copies").alias("_copies"))
+        .agg(F.count("*").alias("_tf"))
     )
-    term_df = tf.groupBy(*by, "term").agg(F.sum("_copies").alias("_df"))
-    total = placed.groupBy(*by).agg(F.sum("_copies").alias("_n"))
-    if by:
-        idf = term_df.join(total, by)
-    else:
-        idf = term_df.withColumn("_n", total.scalar())
-    idf = idf.select(
-        *by, "term", (F.log((F.col("_n") + 1) / (F.col("_df") + 1)) + 1).alias("_idf")
+    packs = (
+        _with_idf(tf, vocabulary, by, scratch)
+        .groupBy(*by, id_col)
+        .agg(
+            F.sort_array(
+                F.collect_list(F.struct("df", "term", (F.col("_tf") * F.col("_idf")).alias("weight")))
+            ).alias("_raw")
+        )
+    )
+    length = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda acc, i: acc + i["weight"] * i["weight"]))
+    unit = packs.withColumn("_length", length).select(
+        *by,
+        id_col,
+        F.transform(
+            "_raw",
+            lambda i: F.struct(
+                i["df"].alias("df"), i["term"].alias("term"), (i["weight"] / F.col("_length")).alias("weight")
+            ),
+        ).alias("ranked"),
+    )
+    return unit.select(
+        "*",
+        F.size("ranked").cast("bigint").alias("terms"),
+        F.aggregate("ranked", F.lit(0.0), lambda acc, i: acc + i["weight"]).alias("total"),
+    )
+
+
+def _with_idf(tf: DataFrame, vocabulary: DataFrame, by: list[str], scratch: Scratch) -> DataFrame:
+    """Join term counts with the vocabulary where they are, if the vocabulary or its hot part fits.
+
+    Beyond the bound the exact counts name the hot terms: those in more than one
+    `HOT_TERMS`-th of all postings, so there are fewer than `HOT_TERMS` of them.  They are sent to the rows; the
+    rows of all other terms are shuffled, where no term is larger than that share.
+    """
+    keys = [*by, "term"]
+    if fits_broadcast(vocabulary, ["term"], MAX_VOCABULARY):
+        return tf.join(F.broadcast(vocabulary), keys)
+    postings = vocabulary.agg(F.sum("df")).first()[0]
+    hot = F.col("df") > postings / HOT_TERMS
+    counted = scratch.save(tf, "term-counts")
+    cold = counted.join(vocabulary.where(~hot), keys)
+    return counted.join(F.broadcast(vocabulary.where(hot)), keys).unionByName(cold)
+
+
+def tfidf(
+    docs: DataFrame,
+    id_col: str = "line_id",
+    tokens_col: str = "tokens",
+    by: Sequence[str] = (),
+    copies_col: str | None = None,
+) -> DataFrame:
+    """``id, term, weight``: the vectors of `packed_vectors`, one row per term."""
+    packs = packed_vectors(docs, id_col, tokens_col, by, copies_col)
+    return packs.select(*by, id_col, F.explode("ranked").alias("_i")).select(
+        *by, id_col, "_i.term", F.col("_i.weight").alias("weight")
     )
-    raw = tf.join(idf, [*by, "term"]).select(
-        *by, id_col, "term", (F.col("_tf") * F.col("_idf")).alias("_raw")
+
+
+def pack(vectors: DataFrame, id_col: str = "line_id", by: Sequence[str] = ()) -> DataFrame:
+    """Long vectors ``id, term, weight`` as `packed_vectors` gives them."""
+    by = list(by)
+    per_term = vectors.groupBy(*by, "term").agg(F.count("*").alias("df"))
+    return (
+        vectors.join(per_term, [*by, "term"])
+        .groupBy(*by, id_col)
+        .agg(
+            F.sort_array(F.collect_list(F.struct("df", "term", "weight"))).alias("ranked"),
+            F.count("*").alias("terms"),
+            F.sum("weight").alias("total"),
+        )
     )
-    length = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(Window.partitionBy(*by, id_col)))
-    return raw.select(*by, id_col, "term", (F.col("_raw") / length).alias("weight"))
 
 
 def dot(left: Column, right: Column) -> Column:
@@ -140,9 +212,13 @@ def similar_pairs(
     by: Sequence[str] = (),
     hot_term: int = HOT_TERM,
     scratch: Scratch | None = None,
+    probe: str | None = None,
 ) -> DataFrame:
     """Every pair ``a < b`` of unit vectors within Euclidean distance ``eps``: ``a, b, cos``.
 
+    ``vectors`` are long or packed.  With ``probe``, a boolean column of packed vectors, only pairs
+    with at least one vector that has it.
+
     Exact.  Pairs are looked up through their blocking keys, so only vectors
     that share a rare and heavy term are compared; a pair must be found from both
     sides, and with weights of the shared term that allow the similarity.  The
@@ -152,25 +228,19 @@ def similar_pairs(
     by = list(by)
     cos = 1 - eps * eps / 2
     scratch = scratch or Scratch(vectors.sparkSession, "pairs")
-    per_term = vectors.groupBy(*by, "term").agg(F.count("*").alias("df"))
-    packs = scratch.save(
-        vectors.join(per_term, [*by, "term"])
-        .groupBy(*by, id_col)
-        .agg(
-            F.sort_array(F.collect_list(F.struct("df", "term", "weight"))).alias("ranked"),
-            F.count("*").alias("terms"),
-            F.sum("weight").alias("total"),
-        ),
-        "packs",
-    )
-    probes = packs.select(
+    packs = vectors if "ranked" in vectors.columns else pack(vectors, id_col, by)
+    packs = scratch.save(packs, "packs")
+    probing = packs.where(probe) if probe else packs
+    probes = probing.select(
         *by,
         F.col(id_col).alias("a"),
         F.col("terms").alias("_na"),
         F.col("total").alias("_ta"),
         F.explode(_probe_keys(F.col("ranked"), eps, cos, hot_term)).alias("p"),
     ).select(*by, "a", "_na", "_ta", "p.key", F.col("p.weight").alias("_wa"))
-    wanted = probes.select(*by, "key").distinct()
+    wanted = scratch.save(probes.select(*by, "key").distinct(), "keys")
+    if fits_broadcast(wanted, ["key.one", "key.two"]):
+        wanted = F.broadcast(wanted)
     singles = F.transform("ranked", lambda i: _key(i))
     floor = eps * (PAIR_WEIGHT - 1) * 0.9999
     paired = F.filter("ranked", lambda i: (i["df"] > hot_term) & (i["weight"] > floor))
@@ -203,7 +273,7 @@ def similar_pairs(
         .where((F.col("a") != F.col("b")) & same_length & (most >= cos - 1e-6))
         .groupBy(*by, F.least("a", "b").alias("_lower"), F.greatest("a", "b").alias("_upper"))
         .agg(F.bool_or(F.col("a") < F.col("b")).alias("_up"), F.bool_or(F.col("a") > F.col("b")).alias("_down"))
-        .where(F.col("_up") & F.col("_down"))
+        .where((F.col("_up") & F.col("_down")) if probe is None else F.lit(True))
         .select(*by, F.col("_lower").alias("a"), F.col("_upper").alias("b")),
         "candidates", wide=True
     )

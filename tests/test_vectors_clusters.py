@@ -109,14 +109,14 @@ def brute_density(docs, eps, min_samples):
     return label
 
 
-@pytest.mark.parametrize("eps", [0.1, 0.4, 0.6])
-def test_density_clusters_equal_brute_force(spark, eps):
+@pytest.mark.parametrize("eps,min_samples", [(0.1, 5), (0.4, 5), (0.6, 5), (0.6, 9), (0.9, 12)])
+def test_density_clusters_equal_brute_force(spark, eps, min_samples):
     docs = [[t.replace("t", "w") for t in d] for d in docs_of(11, 150, (2, 5), 8)]
     words = {f"w{i}": chr(97 + i) * 3 for i in range(8)}
     docs = [[words[t] for t in d] for d in docs]
     lines = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "line_id bigint, content string")
-    got = cluster.density_clusters(lines, eps, 5).collect()
-    assert [r["cluster_id"] for r in sorted(got, key=lambda r: r["line_id"])] == brute_density(docs, eps, 5)
+    got = cluster.density_clusters(lines, eps, min_samples).collect()
+    assert [r["cluster_id"] for r in sorted(got, key=lambda r: r["line_id"])] == brute_density(docs, eps, min_samples)
 
 
 def test_noise_is_regrouped_by_token_sequence(spark):
@@ -167,3 +167,53 @@ def test_mean_shift_finds_the_same_groups(spark):
     brute = brute_mean_shift([t.split() for t in texts], 0.5)
     same = lambda labels: {tuple(i for i, x in enumerate(labels) if x == y) for y in set(labels)}
     assert same(ours) == same(list(brute))
+
+
+def near_equal_lines(n, seed=3):
+    """Lines of five heavy words, each with a subset of common words that hardly weighs, among other lines."""
+    rng = np.random.default_rng(seed)
+    common = [f"com{chr(97 + k)}" for k in range(12)]
+    rare = ["kernel", "watchdog", "deadline", "scheduler", "overrun"]
+    dense = [" ".join(rare * 3 + [w for w in common if rng.random() < 0.5]) for _ in range(n)]
+    other = [" ".join([f"x{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}"] * 2 + common) for k in range(6 * n)]
+    lines = dense + other
+    rng.shuffle(lines)
+    return lines
+
+
+def written_rows(spark, scratch, label):
+    import glob
+
+    folders = glob.glob(f"{scratch.path.removeprefix('file:')}/*-{label}")
+    return sum(spark.read.parquet(f).count() for f in folders)
+
+
+@pytest.mark.parametrize("eps", [0.2, 0.35])
+def test_density_of_a_dense_region(spark, eps):
+    lines = near_equal_lines(80)
+    df = spark.createDataFrame(list(enumerate(lines)), "line_id bigint, content string")
+    got = sorted(cluster.density_clusters(df, eps, 5).collect(), key=lambda r: r["line_id"])
+    assert [r["cluster_id"] for r in got] == brute_density([sorted(x.split()) for x in lines], eps, 5)
+
+
+def test_pairs_of_a_dense_region_are_not_listed(spark):
+    written = {}
+    for n in (100, 400):
+        lines = near_equal_lines(n)
+        df = spark.createDataFrame(list(enumerate(lines)), "line_id bigint, content string")
+        scratch = Scratch(spark, "dense")
+        cluster.density_clusters(df, 0.35, 5, scratch=scratch).count()
+        written[n] = sum(
+            written_rows(spark, scratch, x) for x in ("candidates", "inside", "leader-pairs", "member-pairs", "opened", "found")
+        )
+    assert written[400] <= 5 * written[100] and written[400] < 400 * 400 / 8
+
+
+def test_a_large_vocabulary_is_split_by_heat(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "MAX_VOCABULARY", 3)
+    monkeypatch.setattr(vectors, "HOT_TERMS", 8)
+    docs = [["every", *d] for d in docs_of(5, 60, (1, 9), 30)]
+    df = spark.createDataFrame(list(enumerate(docs)), "line_id bigint, tokens array<string>")
+    got = {(r["line_id"], r["term"]): r["weight"] for r in vectors.tfidf(df).collect()}
+    want = {(i, t): w for i, d in enumerate(brute_tfidf(docs)) for t, w in d.items()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
