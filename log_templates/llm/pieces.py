@@ -28,8 +28,11 @@ import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,8 +40,8 @@ from pyspark.sql import types as T
 from log_templates.llm.common import slices
 
 SPACE_MARK = "▁"
-CACHE_PARTS = 300_000
-CACHE_CHARS = 64  # longer parts are solved each time
+CACHE_PARTS = 600_000  # parts, and ids of them, that a task remembers; beyond it the cache starts anew
+CACHE_IDS = 20_000_000
 UNKNOWN_COST = 1e6  # of a character outside the vocabulary; any known path is cheaper
 
 # fixed values of the model file format: piece types, and the model type of merges
@@ -132,8 +135,9 @@ class Transducer:
         self.byte_ids = [byte_ids[b] for b in range(256)] if model.byte_fallback and len(byte_ids) == 256 else None
         self.passed: dict[int, dict[int, bool]] = {}
         self.splits: dict[int, tuple[int, int] | None] = {}
-        self.cache: dict[str, tuple[int, ...]] = {}
-        inner = {p[k : k + 2] for p in self.id_of for k in range(len(p) - 1)}
+        self.piece_bytes = pa.array(self.bytes_of, pa.large_binary())
+        self._forget()
+        self.inner = inner = {p[k : k + 2] for p in self.id_of for k in range(len(p) - 1)}
         spaces_lead = all(pair[1] != SPACE_MARK or pair[0] == SPACE_MARK for pair in inner)
         lines_alone = all("\n" not in pair for pair in inner)
         if spaces_lead and lines_alone:
@@ -251,26 +255,70 @@ class Transducer:
             at = before
         return tuple(i for ids in reversed(out) for i in ids)
 
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.paths: dict[str, tuple[int, ...]] = {}
+        self.flat, self.at, self.size = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _path(self, part: str) -> tuple[int, ...]:
+        """Ids of a part, from those between the places that no piece reaches across."""
+        inner, paths, at, out = self.inner, self.paths, 0, ()
+        for k in range(1, len(part) + 1):
+            if k == len(part) or part[k - 1 : k + 1] not in inner:
+                found = paths.get(part[at:k])
+                if found is None:
+                    found = paths[part[at:k]] = self.shortest_path(part[at:k])
+                out += found
+                at = k
+        return out
+
+    def _learn(self, parts: list[str]) -> None:
+        """Remember the least paths of new parts: where their ids stand and how many there are."""
+        ids = [self._path(p) for p in parts]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.number.update(zip(parts, range(len(self.at), len(self.at) + len(parts)), strict=True))
+        self.at = np.concatenate([self.at, np.cumsum(size) - size + len(self.flat)])
+        self.size = np.concatenate([self.size, size])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))])
+
+    def encode_all(self, texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where those of each end.
+
+        Each distinct part of the texts is looked up once; the rest is done on arrays.
+        """
+        of_text = [self.parts(self.normalise(t or "")) for t in texts]
+        parts = list(chain.from_iterable(of_text))
+        new = [p for p in dict.fromkeys(parts) if p not in self.number]
+        if new:
+            self._learn(new)
+        number = np.fromiter(map(self.number.__getitem__, parts), np.int64, len(parts))
+        size = self.size[number]
+        done = np.concatenate([[0], np.cumsum(size)])
+        ids = self.flat[np.arange(done[-1]) + np.repeat(self.at[number] - done[:-1], size)]
+        ends = done[np.cumsum([0, *map(len, of_text)])]
+        if len(self.at) > CACHE_PARTS or len(self.flat) > CACHE_IDS:
+            self._forget()
+            self.passed.clear()
+        return ids, ends
+
     def encode(self, text: str | None) -> list[int]:
-        ids: list[int] = []
-        cache = self.cache
-        for part in self.parts(self.normalise(text or "")):
-            found = cache.get(part)
-            if found is None:
-                found = self.shortest_path(part)
-                if len(part) <= CACHE_CHARS:
-                    if len(cache) >= CACHE_PARTS:
-                        cache.clear()
-                        self.passed.clear()
-                    cache[part] = found
-            ids += found
-        return ids
+        return self.encode_all([text])[0].tolist()
 
-    def decode(self, ids: Iterable[int]) -> str:
+    def decode_all(self, ids: pa.Array, ends: np.ndarray) -> list[str]:
         """The output side of the transducer read backwards: pieces and bytes to text."""
-        all_bytes = self.bytes_of
-        text = b"".join([all_bytes[i] for i in ids]).decode("utf-8", "replace").replace(SPACE_MARK, " ")
-        return text[1:] if self.model.dummy_prefix and text[:1] == " " else text
+        pieces = self.piece_bytes.take(ids)
+        _, offsets, data = pieces.buffers()
+        at = np.frombuffer(offsets, np.int64, len(pieces) + 1)[ends].tolist() if len(pieces) else [0] * len(ends)
+        data = memoryview(data or b"")
+        cut = 1 if self.model.dummy_prefix else 0
+        texts = (
+            str(data[a:b], "utf-8", "replace").replace(SPACE_MARK, " ") for a, b in zip(at[:-1], at[1:], strict=True)
+        )
+        return [t[cut:] if t[:1] == " " else t for t in texts]
+
+    def decode(self, ids: Iterable[int]) -> str:
+        ids = pa.array(list(ids), pa.int64())
+        return self.decode_all(ids, np.array([0, len(ids)]))[0]
 
 
 @lru_cache(maxsize=2)
@@ -297,8 +345,9 @@ def encode_pieces(
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = _compiled(send.value, key)
         for part in slices(batches):
-            ids = [made.encode(t) for t in part.column(text_col).to_pylist()]
-            columns = [part.column(c) for c in kept] + [pa.array(ids, pa.list_(pa.int32()))]
+            ids, ends = made.encode_all(part.column(text_col).to_pylist())
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+            columns = [part.column(c) for c in kept] + [lists]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, out])
 
     return docs.mapInArrow(run, schema)
@@ -315,7 +364,9 @@ def decode_pieces(
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = _compiled(send.value, key)
         for part in slices(batches):
-            texts = [made.decode(x or ()) for x in part.column(ids_col).to_pylist()]
+            ids = part.column(ids_col)
+            ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))])
+            texts = made.decode_all(ids.flatten(), ends)
             columns = [part.column(c) for c in kept] + [pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, out])
 
