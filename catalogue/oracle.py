@@ -111,6 +111,16 @@ add(
     hits("event_lines", "known"),
 )
 ORACLE["stream_match"] = ORACLE["match_templates"]
+ORACLE["match_templates_shuffle"] = ORACLE["match_templates"]
+add(
+    "match_many_templates",
+    """SELECT line_id, content, CASE event_type
+    WHEN 'click' THEN regexp_replace(content, ' in [^ ]+ ms$', ' in <*> ms')
+    WHEN 'view' THEN regexp_replace(content, ' size [^ ]+ from', ' size <*> from')
+    WHEN 'purchase' THEN regexp_replace(content, 'amount .*$', 'amount <*>, user <*>')
+    WHEN 'error' THEN regexp_replace(content, 'code .*$', 'code <*>') ELSE content END AS event_template FROM event_lines""",
+    o.EVENT_LINES,
+)
 add(
     "unmatched_lines",
     "SELECT line_id, content FROM event_lines WHERE line_id NOT IN (SELECT line_id FROM first_hit)",

@@ -152,6 +152,21 @@ def match_templates(spark, sf_dir):
     return match.match_templates(lines, inputs.known_templates(spark, sf_dir))
 
 
+@query
+def match_templates_shuffle(spark, sf_dir):
+    """The same lines and templates as beyond the bound of the lookup."""
+    lines = inputs.event_lines(spark, sf_dir).select("line_id", "content")
+    return match.match_templates(lines, inputs.known_templates(spark, sf_dir), max_lookup_rows=0)
+
+
+@query
+def match_many_templates(spark, sf_dir):
+    """About as many templates as lines."""
+    lines = inputs.event_lines(spark, sf_dir).select("line_id", "content")
+    templates = Scratch(spark, "query-many").save(inputs.many_templates(spark, sf_dir), "templates")
+    return match.match_templates(lines, templates)
+
+
 @query
 def unmatched_lines(spark, sf_dir):
     lines = inputs.event_lines(spark, sf_dir).select("line_id", "content")

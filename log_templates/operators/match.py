@@ -2,12 +2,12 @@
 
 A template table has ``event_template, reference_log, hits``; ``template_id``
 breaks ties.  A line is tried only on templates whose reference line has a
-similar word count and, where the template starts with a whole constant word,
-the same first word.
+similar word count and whose rarest whole constant word is a word of the line.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -26,6 +26,7 @@ from log_templates.functions.text import (
     count_flat_words,
     count_words,
 )
+from log_templates.operators.template_index import lookup
 from log_templates.tables import fits_broadcast
 
 # The text and the word count of templates a task may hold for the lookup.
@@ -70,6 +71,24 @@ def _candidates(templates: DataFrame, by: Sequence[str], length_gate: bool) -> D
     return prepared.withColumn("_n", F.explode(around))
 
 
+def _anchored(templates: DataFrame, by: list[str], length_gate: bool) -> DataFrame:
+    """Candidates with ``_anchor``, their rarest whole constant word, or "" without one."""
+    constant = F.filter(
+        F.split("event_template", " "), lambda w: (w != "") & ~F.contains(w, F.lit(PLACEHOLDER))
+    )
+    words = templates.select(*by, "event_template", F.explode(F.array_distinct(constant)).alias("_word"))
+    held = words.groupBy(*by, "_word").agg(F.count_distinct("event_template").alias("_held"))
+    rarest = (
+        words.join(held, [*by, "_word"])
+        .groupBy(*by, F.col("event_template").alias("_template"))
+        .agg(F.min(F.struct("_held", "_word"))["_word"].alias("_anchor"))
+    )
+    prepared = _candidates(templates, by, length_gate).withColumn("_template", F.col("candidate.template"))
+    return prepared.join(rarest, [*by, "_template"], "left").withColumn(
+        "_anchor", F.coalesce("_anchor", F.lit(""))
+    ).drop("_template", "_head")
+
+
 def _hit(line: Column, candidate: Column) -> Column:
     """The collapsed template if it is known, else null."""
     return bind(
@@ -102,10 +121,29 @@ def _first_hit(line: Column, candidates: Column) -> Column:
 
 
 def _match_by_lookup(
-    lines: DataFrame, candidates: DataFrame, by: list[str], flat: Column, length_gate: bool, send: bool = True
+    lines: DataFrame, templates: DataFrame, by: list[str], flat: Column, length_gate: bool
+) -> DataFrame:
+    """Templates are sent as an index of checked size; lines stay where they are."""
+    known = templates.select(
+        (-F.col("hits")).cast("bigint").alias("order"),
+        F.col("template_id").cast("bigint"),
+        "event_template",
+        F.array(*(F.col(c).cast("string") for c in by)).cast("array<string>").alias("group"),
+        count_words("reference_log").alias("words") if length_gate else F.lit(None).cast("int").alias("words"),
+    )
+    rows = [
+        (r["order"], r["template_id"], r["event_template"], tuple(r["group"]), r["words"])
+        for r in known.collect()
+        if r["event_template"] is not None and (r["words"] is not None or not length_gate)
+    ]
+    sent = lines.sparkSession.sparkContext.broadcast(rows)
+    return lines.withColumn("event_template", lookup(sent, uuid.uuid4().int, flat, by))
+
+
+def _match_by_key(
+    lines: DataFrame, candidates: DataFrame, by: list[str], flat: Column, length_gate: bool
 ) -> DataFrame:
-    """Templates come as sorted arrays: broadcast, so that lines stay where they are, or by key."""
-    place = F.broadcast if send else lambda table: table
+    """For a stream and a template table no task can hold: arrays of templates, joined by key."""
     sorted_list = F.sort_array(F.collect_list("candidate"))
     with_head = candidates.where(F.col("_head").isNotNull())
     by_head = with_head.groupBy(*by, "_n", "_head").agg(sorted_list.alias("_named"))
@@ -116,9 +154,7 @@ def _match_by_lookup(
         .withColumn("_n", count_flat_words("_flat") if length_gate else F.lit(0))
         .withColumn("_head", F.substring_index("_flat", " ", 1))
     )
-    looked_up = keyed.join(place(by_head), [*by, "_n", "_head"], "left").join(
-        place(by_count), [*by, "_n"], "left"
-    )
+    looked_up = keyed.join(by_head, [*by, "_n", "_head"], "left").join(by_count, [*by, "_n"], "left")
     best = F.least(
         _first_hit(F.col("_flat"), F.col("_named")), _first_hit(F.col("_flat"), F.col("_open"))
     )
@@ -127,30 +163,29 @@ def _match_by_lookup(
 
 def _match_by_shuffle(
     lines: DataFrame,
-    candidates: DataFrame,
+    templates: DataFrame,
     by: list[str],
     flat: Column,
     length_gate: bool,
     id_col: str,
 ) -> DataFrame:
-    """For a template table no task can hold: a salted equi-join, best hit per line.
+    """For a template table no task can hold: a salted equi-join on anchors, best hit per line.
 
-    Lines of one key are spread over `SALTS` tasks, and the templates of the key
-    are repeated for each of them.
+    A line meets the templates whose anchor is one of its words.  Lines of one key are spread
+    over `SALTS` tasks, and the templates of the key are repeated for each of them.
     """
+    candidates = _anchored(templates, by, length_gate)
     keyed = lines.select(
         *by,
         id_col,
         flat.alias("_flat"),
         F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int").alias("_salt"),
     ).withColumn("_n", count_flat_words("_flat") if length_gate else F.lit(0))
-    heads = F.array(F.substring_index("_flat", " ", 1), F.lit(""))
-    keyed = keyed.withColumn("_head", F.explode(F.array_distinct(heads)))
-    salted = candidates.withColumn("_head", F.coalesce("_head", F.lit(""))).withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    )
+    anchors = F.array_distinct(F.concat(F.split("_flat", " "), F.array(F.lit(""))))
+    keyed = keyed.withColumn("_anchor", F.explode(anchors))
+    salted = candidates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     hits = (
-        keyed.join(salted, [*by, "_n", "_head", "_salt"])
+        keyed.join(salted, [*by, "_n", "_anchor", "_salt"])
         .select(
             *by,
             id_col,
@@ -179,20 +214,21 @@ def match_templates(
     """Add ``event_template``: the first known template in (hits, id) order, or null.
 
     A template whose empty placeholders drop counts only if the result is itself
-    in the table.  A table of checked size is broadcast as sorted arrays and lines
+    in the table.  A table of checked size is sent as an index and lines
     are not shuffled at all; a larger one goes through a salted equi-join.  That join
     aggregates per line, which a stream cannot: with ``aggregate`` off, lines are
-    joined with the arrays by key instead.
+    joined with sorted arrays by key instead.
     """
     by = list(by)
-    candidates = _candidates(templates, by, length_gate)
     flat = collapse_ws(content_col)
     small = fits_broadcast(
         templates, ["event_template"], max_lookup_rows, MAX_LOOKUP_CHARS
     )
-    if small or not aggregate:
-        return _match_by_lookup(lines, candidates, by, flat, length_gate, small)
-    return _match_by_shuffle(lines, candidates, by, flat, length_gate, id_col)
+    if small:
+        return _match_by_lookup(lines, templates, by, flat, length_gate)
+    if not aggregate:
+        return _match_by_key(lines, _candidates(templates, by, length_gate), by, flat, length_gate)
+    return _match_by_shuffle(lines, templates, by, flat, length_gate, id_col)
 
 
 def unmatched_lines(matched: DataFrame) -> DataFrame:

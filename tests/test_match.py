@@ -1,6 +1,10 @@
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from log_templates.operators import match
+from log_templates.operators.template_index import Known, TemplateIndex, constant_words, filled
 
 TEMPLATES = [
     (1, "a <*> b", "a 1 b", 3),
@@ -29,6 +33,54 @@ def test_lookup_and_shuffle_agree(spark):
         assert {r["line_id"]: r["event_template"] for r in got} == want
 
 
+def many(seed=2, n=400):
+    rng = random.Random(seed)
+    words = ["a", "b", "cc", "dd", "e=1", "<*>", "<*>:", "x<*>", "<*><*>"]
+    templates = sorted({" ".join(rng.choices(words, k=rng.randint(1, 5))) for _ in range(n)})
+    lines = [re.sub(r"<\*>", lambda _: rng.choice(["", "1", "b", "q r"]), rng.choice(templates)) for _ in range(n)]
+    lines = [" ".join(x.split()) for x in lines] + ["", "b"]
+    known = [(i, t, rng.choice(lines), rng.randint(0, 3)) for i, t in enumerate(templates)]
+    return list(enumerate(lines)), known
+
+
+def fitted(line, template):
+    """Brute force: an anchored lazy pattern, and the placeholders that took something."""
+    found = re.fullmatch("(.*?)".join(re.escape(p) for p in template.split("<*>")), line, re.S)
+    if found is None:
+        return None
+    parts = template.split("<*>")
+    return parts[0] + "".join(("<*>" if v else "") + p for v, p in zip(found.groups(), parts[1:], strict=True))
+
+
+def test_every_path_equals_brute_force(spark):
+    lines, known = many()
+    texts = {t for _, t, _, _ in known}
+    want = {}
+    for i, line in lines:
+        n, hits = len(line.split()), []
+        for tid, template, reference, h in known:
+            hit = fitted(line, template)
+            if abs(len(reference.split()) - n) <= 1 and hit is not None and hit in texts:
+                hits.append((-h, tid, hit))
+        want[i] = min(hits)[2] if hits else None
+    frame = spark.createDataFrame(lines, "line_id bigint, content string")
+    templates = spark.createDataFrame(known, "template_id bigint, event_template string, reference_log string, hits bigint")
+    for options in ({}, {"max_lookup_rows": 0}, {"max_lookup_rows": 0, "aggregate": False}):
+        got = match.match_templates(frame, templates, **options).collect()
+        assert {r["line_id"]: r["event_template"] for r in got} == want
+
+
+def test_index_tries_few_of_many_templates():
+    known = [Known(0, k, f"job <*> of host{k} ended with code <*>", (), 8) for k in range(50_000)]
+    known.append(Known(0, 50_001, "<*> ended", (), 8))
+    index = TemplateIndex(known)
+    for k in range(0, 50_000, 500):
+        assert index.find(f"job 7 of host{k} ended with code 3", ()) == known[k].template
+    assert index.tried <= 2 * 100
+    assert constant_words("a <*> b=<*> c") == {"a", "c"}
+    assert filled("a  b", ["a ", " b"]) == "a  b" and filled("ab", ["a", "c"]) is None
+
+
 def test_lines_are_not_shuffled_by_the_lookup(spark):
     lines, templates = tables(spark)
     plan = match.match_templates(lines, templates)._jdf.queryExecution().executedPlan().toString()
