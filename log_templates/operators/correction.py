@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from log_templates.functions.normalize import normalized
@@ -61,6 +61,14 @@ def correct_ground_truth(
     )
 
 
+def natural_order(event_id: str) -> list[Column]:
+    """Sort keys that put E2 before E10."""
+    return [
+        F.regexp_extract(event_id, r"^(\D*)", 1),
+        F.regexp_extract(event_id, r"^\D*(\d+)", 1).try_cast("bigint"),
+    ]
+
+
 def corrected_template_table(fixed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The template table after correction, in natural order of the event ids."""
     return (
@@ -68,11 +76,7 @@ def corrected_template_table(fixed: DataFrame, by: Sequence[str] = ()) -> DataFr
             *by, F.col("new_event_id").alias("event_id"), F.col("new_template").alias("event_template")
         )
         .distinct()
-        .orderBy(
-            *by,
-            F.regexp_extract("event_id", r"^(\D*)", 1),
-            F.regexp_extract("event_id", r"^\D*(\d+)", 1).try_cast("bigint"),
-        )
+        .orderBy(*by, *natural_order("event_id"))
     )
 
 

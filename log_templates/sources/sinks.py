@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from log_templates.operators.correction import (
+    correct_ground_truth,
+    corrected_template_table,
+    corrected_templates,
+    natural_order,
+)
+
 RUN_METRICS_SCHEMA = "dataset string, invocation_time double, parsing_time double, ts timestamp"
 
 
@@ -45,6 +54,31 @@ def write_summary(
     )
 
 
+def write_corrected(
+    lines: DataFrame,
+    log_path: str,
+    template_path: str,
+    user_strings: Iterable[str] = (),
+    file_format: str = "csv",
+    mode: str = "errorifexists",
+) -> None:
+    """The corrected structured log, and its template table in natural order of the event ids.
+
+    The log keeps its columns; ids and templates are those of `correct_ground_truth`.  The table counts
+    the lines of each template.
+    """
+    fixed = corrected_templates(lines, user_strings=user_strings)
+    corrected = correct_ground_truth(lines, user_strings=user_strings).drop("corrected")
+    headed = {c: "".join(w.capitalize() for w in c.split("_")) for c in corrected.columns}
+    _write(corrected.withColumnsRenamed(headed), log_path, file_format, mode)
+    counts = corrected.groupBy("event_id").agg(F.count("*").alias("Occurrences"))
+    table = corrected_template_table(fixed).join(counts, "event_id", "left")
+    ordered = table.orderBy(*natural_order("event_id")).select(
+        F.col("event_id").alias("EventId"), F.col("event_template").alias("EventTemplate"), "Occurrences"
+    )
+    _write(ordered, template_path, file_format, mode)
+
+
 def write_metrics(summary: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """The metric summary as one CSV table."""
     _write(summary, path, "csv", mode)

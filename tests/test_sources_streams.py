@@ -100,3 +100,42 @@ def test_stream_parse_learns_and_replays(spark, tmp_path):
     stream.parse_batch(last, 1, known, out, FAST)
     again = {r["event_template"]: r["hits"] for r in stream.read_stream_templates(spark, known).collect()}
     assert stream.read_parsed_stream(spark, out).count() == 22 and sum(again.values()) == 22
+
+
+def test_snapshots_bound_what_a_batch_reads(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stream, "SNAPSHOT_EVERY", 3)
+    known, out = str(tmp_path / "known"), str(tmp_path / "parsed")
+    rows = lambda n: [(100 * n + k, f"task {100 * n + k} done by w{k}x{k}") for k in range(6)] + [(100 * n + 99, f"only {'ab'[n % 2]}")]
+    for n in range(8):
+        stream.parse_batch(spark.createDataFrame(rows(n), "line_id bigint, content string"), n, known, out, FAST)
+        assert len(list((tmp_path / "known").glob("*=*"))) <= 2 + 2 * 3
+    table = {r["event_template"]: r["hits"] for r in stream.read_stream_templates(spark, known).collect()}
+    assert sum(table.values()) == 56 and table["only a"] == 4
+    for n in (5, 7):  # a replayed batch reads what it read before
+        before = {r["event_template"]: r["hits"] for r in stream.read_stream_templates(spark, known, n).collect()}
+        assert sum(before.values()) == 7 * n
+        stream.parse_batch(spark.createDataFrame(rows(n), "line_id bigint, content string"), n, known, out, FAST)
+    again = {r["event_template"]: r["hits"] for r in stream.read_stream_templates(spark, known).collect()}
+    assert again == table and stream.read_parsed_stream(spark, out).count() == 56
+
+
+def test_streams_keep_systems_apart(spark, tmp_path):
+    known, out = str(tmp_path / "known"), str(tmp_path / "parsed")
+    rows = [(k, "xy"[k % 2], f"job {k} of {'xy'[k % 2]} ended") for k in range(20)]
+    frame = spark.createDataFrame(rows, "line_id bigint, dataset string, content string")
+    for n in range(2):
+        stream.parse_batch(frame, n, known, out, FAST, ["dataset"])
+    got = stream.read_stream_templates(spark, known, by=["dataset"]).collect()
+    assert {(r["dataset"], r["event_template"], r["hits"]) for r in got} == {
+        ("x", "job <*> of x ended", 20), ("y", "job <*> of y ended", 20)
+    }
+
+
+def test_corrected_truth_round_trip(spark, tmp_path):
+    rows = [(1, "user 7 in", "E10", "user 7 in"), (2, "user 8 in", "E2", "user 8 in"), (3, "x", "E1", "x"), (4, "x", "E1", "x")]
+    lines = spark.createDataFrame(rows, "line_id bigint, content string, event_id string, event_template string")
+    sinks.write_corrected(lines, str(tmp_path / "log"), str(tmp_path / "table"))
+    back = readers.read_structured_logs(spark, str(tmp_path / "log")).orderBy("line_id").collect()
+    assert [(r["event_id"], r["event_template"]) for r in back] == [("E10", "user <*> in")] * 2 + [("E1", "x")] * 2
+    table = spark.read.csv(str(tmp_path / "table"), header=True).collect()
+    assert [(r["EventId"], r["EventTemplate"], r["Occurrences"]) for r in table] == [("E1", "x", "2"), ("E10", "user <*> in", "2")]
