@@ -40,8 +40,8 @@ from pyspark.sql import types as T
 from log_templates.llm.common import slices
 
 SPACE_MARK = "▁"
-CACHE_PARTS = 600_000  # parts, and ids of them, that a task remembers; beyond it the cache starts anew
-CACHE_IDS = 20_000_000
+CACHE_PARTS = 300_000  # parts, and ids of them, that a task remembers; beyond it the cache starts anew
+CACHE_IDS = 5_000_000
 UNKNOWN_COST = 1e6  # of a character outside the vocabulary; any known path is cheaper
 
 # fixed values of the model file format: piece types, and the model type of merges
