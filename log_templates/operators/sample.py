@@ -8,15 +8,18 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from log_templates.functions.text import bind, word_tokens
-from log_templates.operators.vectors import tfidf
-from log_templates.tables import Scratch
+from log_templates.operators.vectors import dot, packed_vectors, tfidf
+from log_templates.tables import Scratch, number_in_order
 
 # Clusters up to this many distinct lines are sampled inside one task; larger ones
 # by distributed rounds that give the same lines.
 GROUP_ROWS = 20_000
+# Balanced groups are formed inside cells of at most this many points.
+CELL_ROWS = 1_000
 # Scores are compared at this many decimals, ties go to the earlier line.
 DECIMALS = 9
 
@@ -36,7 +39,7 @@ def sample_batches(
 
     ``diverse`` adds, line by line, the one that spans the most new volume
     (greedy determinant), ``random`` takes the lowest seeded hashes, ``similar``
-    the lines around one centre.  Gives ``by, cluster_id, pos, id, content`` with
+    the group of the first line among balanced groups.  Gives ``by, cluster_id, pos, id, content`` with
     ``pos`` counting from 0 in line order.
     """
     keys = [*by, "cluster_id"]
@@ -242,28 +245,17 @@ def _diverse(
 def _similar(
     lines: DataFrame, keys: list[str], k: int, id_col: str, content_col: str, scratch: Scratch
 ) -> DataFrame:
-    """The group around the first line: its k nearest lines, then the k nearest to their mean."""
-    tokens = lines.withColumn("tokens", word_tokens(content_col))
-    vectors = scratch.save(tfidf(tokens, id_col, "tokens", keys), "sample-vectors")
-    first = lines.groupBy(*keys).agg(F.min(id_col).alias(id_col))
-    centre = vectors.join(first, [*keys, id_col]).select(*keys, "term", F.col("weight").alias("_centre"))
-    for _ in range(2):
-        near = (
-            vectors.join(centre, [*keys, "term"])
-            .groupBy(*keys, id_col)
-            .agg(F.round(F.sum(F.col("weight") * F.col("_centre")), DECIMALS).alias("_cos"))
-        )
-        scored = lines.join(near, [*keys, id_col], "left")
-        group = scratch.save(
-            _top(scored, keys, k, [F.coalesce("_cos", F.lit(0.0)).desc(), F.col(id_col)]).drop("_cos"),
-            "group",
-        )
-        centre = (
-            vectors.join(group.select(*keys, id_col), [*keys, id_col])
-            .groupBy(*keys, "term")
-            .agg((F.sum("weight") / k).alias("_centre"))
-        )
-    return group
+    """The group of the first line of each cluster, of balanced groups of at most ``k`` lines."""
+    tokens = scratch.save(lines.withColumn("tokens", word_tokens(content_col)), "to-group", wide=True)
+    packs = packed_vectors(tokens, id_col, "tokens", keys, scratch=scratch)
+    items = F.transform("ranked", lambda i: F.struct(i["term"].alias("term"), i["weight"].alias("weight")))
+    points = tokens.select(*keys, id_col).join(packs.select(*keys, id_col, items.alias("_items")), [*keys, id_col], "left")
+    grouped = balanced_cells(points, keys, k, id_col, "_items", scratch=scratch)
+    grouped = scratch.save(grouped, "grouped")
+    first = grouped.groupBy(*keys).agg(F.min_by(F.struct("cell", "group"), id_col).alias("_f"))
+    wanted = first.select(*keys, "_f.cell", "_f.group")
+    picked = grouped.join(wanted, [*keys, "cell", "group"], "left_semi").select(*keys, id_col)
+    return lines.join(picked, [*keys, id_col], "left_semi")
 
 
 def pick_labelled_pairs(
@@ -308,78 +300,121 @@ def balanced_groups(
     capacity: int,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
-    seed: int = 0,
-    max_centre_values: int = 20_000_000,
+    cell_rows: int = CELL_ROWS,
     scratch: Scratch | None = None,
 ) -> DataFrame:
-    """Add ``group_id``: groups of similar vectors with at most ``capacity`` members.
-
-    A table wide k-means gives ``ceil(n / capacity)`` centres; a full group keeps
-    its nearest members, and the others move on to their next-ranked centre in
-    rounds.  Centres go to the tasks as one array whose size is checked.
-    """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
+    """Add ``group_id``: groups of similar vectors with at most ``capacity`` members."""
     scratch = scratch or Scratch(df.sparkSession, "balanced")
-    points = scratch.save(
-        df.select(id_col, F.col(vector_col).cast("array<double>").alias("_v")), "points"
+    points = df.select(
+        F.lit(0).alias("_all"), id_col,
+        F.transform(vector_col, lambda x, i: F.struct(i.cast("string").alias("term"), x.cast("double").alias("weight"))).alias("_items"),
     )
-    n = points.count()
-    groups = -(-n // capacity)
-    if groups <= 1:
-        return df.withColumn("group_id", F.lit(0))
-    model = KMeans(k=groups, seed=seed, featuresCol="_features").fit(
-        points.withColumn("_features", array_to_vector("_v"))
+    placed = balanced_cells(points, ["_all"], capacity, id_col, "_items", cell_rows, scratch)
+    placed = scratch.save(placed.select(id_col, "cell", "group"), "placed")
+    numbers = number_in_order(placed.select("cell", "group").distinct(), [F.col("cell"), F.col("group")], "group_id", scratch)
+    return df.join(placed.join(numbers, ["cell", "group"]).select(id_col, "group_id"), id_col)
+
+
+def balanced_cells(
+    points: DataFrame, keys: Sequence[str], capacity: int, id_col: str, items_col: str, cell_rows: int = CELL_ROWS,
+    scratch: Scratch | None = None,
+) -> DataFrame:
+    """``keys, id, cell, group``: balanced groups of sparse vectors under each key, all keys in the same jobs.
+
+    ``items_col`` is an array of ``(term, weight)``.  The points of a key are split in two by which of two far
+    points is nearer, again and again, until a cell has at most ``cell_rows`` points; each cell is then
+    grouped in one task by `balanced_kmeans`.  So no centre list grows with the table.
+    """
+    keys = list(keys)
+    scratch = scratch or Scratch(points.sparkSession, "cells")
+    open_ = points.withColumn("cell", F.lit("")).withColumn("_items", F.coalesce(items_col, F.array().cast(points.schema[items_col].dataType)))
+    open_ = scratch.save(open_.select(*keys, "cell", id_col, F.sort_array("_items").alias("_items")), "cells")
+    ready = None
+    while True:
+        sizes = open_.groupBy(*keys, "cell").agg(F.count("*").alias("_size"), F.min(F.struct(id_col, "_items")).alias("_one"))
+        sized = open_.join(sizes, [*keys, "cell"])
+        small = sized.where(F.col("_size") <= cell_rows).select(*open_.columns)
+        ready = small if ready is None else ready.unionByName(small)
+        large = sized.where(F.col("_size") > cell_rows)
+        if large.isEmpty():
+            break
+        open_ = scratch.save(_halved(large, keys, id_col), "cells")
+
+    def group(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(id_col, kind="stable")
+        label = balanced_kmeans(_matrix(pdf["_items"]), capacity)
+        return pdf[[*keys, "cell", id_col]].assign(group=label.astype("int32"))
+
+    schema = T.StructType([*(ready.schema[c] for c in (*keys, "cell", id_col)), T.StructField("group", T.IntegerType())])
+    return ready.groupBy(*keys, "cell").applyInPandas(group, schema)
+
+
+def _halved(large: DataFrame, keys: list[str], id_col: str) -> DataFrame:
+    """Split each cell by its first point and the point farthest from it; evenly by hash if they are equal.
+
+    A side that would get nearly nothing gives way to a split by hash too, so the rounds end.
+    """
+    cell = [*keys, "cell"]
+    near_one = large.withColumn("_cos1", F.round(dot(F.col("_items"), F.col("_one._items")), DECIMALS))
+    far = near_one.groupBy(*cell).agg(F.min_by(F.struct(id_col, "_items"), F.struct("_cos1", id_col)).alias("_two"))
+    both = near_one.join(far, cell).withColumn("_cos2", F.round(dot(F.col("_items"), F.col("_two._items")), DECIMALS))
+    sided = both.withColumn("_right", F.col("_cos2") > F.col("_cos1"))
+    share = sided.groupBy(*cell).agg(F.avg(F.col("_right").cast("int")).alias("_share"))
+    lopsided = (F.col("_share") < 0.05) | (F.col("_share") > 0.95)
+    coin = F.pmod(F.xxhash64(id_col, "cell"), F.lit(2)) == 1
+    right = F.when(lopsided, coin).otherwise(F.col("_right"))
+    return sided.join(share, cell).select(
+        *keys, F.concat("cell", F.when(right, "1").otherwise("0")).alias("cell"), id_col, "_items"
     )
-    centres = np.array(model.clusterCenters())
-    if centres.size > max_centre_values:
-        raise ValueError(
-            f"{centres.size} centre values exceed {max_centre_values}; split the table first, "
-            "for example by a coarser k-means, and balance each part"
-        )
-    shared = df.sparkSession.sparkContext.broadcast(centres)
-
-    def best_free(full: frozenset[int]):
-        def choose(v: pd.Series) -> pd.DataFrame:
-            matrix = np.vstack(v.to_numpy())
-            c = shared.value
-            norms = np.linalg.norm(matrix, axis=1)[:, None] * np.linalg.norm(c, axis=1)[None, :]
-            cos = np.divide(matrix @ c.T, norms, out=np.zeros_like(norms), where=norms > 0)
-            cos[:, list(full)] = -np.inf
-            best = cos.argmax(axis=1)
-            return pd.DataFrame(
-                {"group_id": best.astype("int32"), "cos": cos[np.arange(len(best)), best]}
-            )
 
-        return F.pandas_udf(choose, "struct<group_id:int,cos:double>")
-
-    open_points = points
-    placed = points.select(id_col, F.lit(0).alias("group_id")).limit(0)
-    full: frozenset[int] = frozenset()
-    while not open_points.isEmpty():
-        # Each open point asks for its best group that still has a seat.
-        asking = scratch.save(
-            open_points.withColumn("_ask", best_free(full)("_v")).select(
-                id_col, "_v", "_ask.group_id", "_ask.cos"
-            ),
-            "asking",
-        )
-        seats = placed.groupBy("group_id").agg(F.count("*").alias("_taken"))
-        order = [F.col("cos").desc(), F.col(id_col)]
-        rank = F.row_number().over(Window.partitionBy("group_id").orderBy(*order))
-        seated = (
-            _top(asking.drop("_v"), ["group_id"], capacity, order)
-            .withColumn("_rank", rank)
-            .join(seats, "group_id", "left")
-            .where(F.col("_rank") <= capacity - F.coalesce("_taken", F.lit(0)))
-            .select(id_col, "group_id")
-        )
-        placed = placed.unionByName(scratch.save(seated, "seated"))
-        open_points = asking.join(placed, id_col, "left_anti").select(id_col, "_v")
-        # The full groups, at most one id per centre.
-        taken = placed.groupBy("group_id").agg(F.count("*").alias("_taken"))
-        full = frozenset(
-            r["group_id"] for r in taken.where(F.col("_taken") >= capacity).toLocalIterator()
-        )
-    return df.join(placed, id_col)
+
+def _matrix(items: pd.Series) -> np.ndarray:
+    """Dense unit rows of arrays of (term, weight); a row without terms stays zero."""
+    rows = np.repeat(np.arange(len(items)), [len(x) for x in items])
+    terms = [i["term"] for x in items for i in x]
+    codes, names = pd.factorize(np.array(terms, dtype=object))
+    out = np.zeros((len(items), max(len(names), 1)))
+    np.add.at(out, (rows, codes), [i["weight"] for x in items for i in x])
+    length = np.linalg.norm(out, axis=1, keepdims=True)
+    return np.divide(out, length, out=out, where=length > 0)
+
+
+def balanced_kmeans(points: np.ndarray, capacity: int, rounds: int = 10) -> np.ndarray:
+    """Group unit rows into ceil(n / capacity) groups of at most ``capacity`` rows.
+
+    Centres start at evenly spaced rows and move ``rounds`` times to the mean of the rows
+    nearest by cosine, ties to the first centre.  A full group keeps its most similar rows, earlier ones of
+    equals; the others go, group by group and the most similar first, to the next group of their own
+    ranking that has a free seat.
+    """
+    n = len(points)
+    count = -(-n // capacity)
+    centres = points[np.arange(count) * n // count]
+    for _ in range(rounds):
+        label = _cosines(points, centres).argmax(axis=1)
+        total = np.zeros_like(centres)
+        np.add.at(total, label, points)
+        held = np.bincount(label, minlength=count)[:, None]
+        centres = np.where(held > 0, total / np.maximum(held, 1), centres)
+    cos = _cosines(points, centres)
+    label = cos.argmax(axis=1)
+    ranking = np.argsort(-cos, axis=1, kind="stable")
+    seats = capacity - np.bincount(label, minlength=count)
+    over = []
+    for g in np.flatnonzero(seats < 0):
+        members = np.flatnonzero(label == g)
+        over += members[np.argsort(-cos[members, g], kind="stable")][capacity:].tolist()
+    seats = np.maximum(seats, 0)
+    for row in over:
+        for g in ranking[row]:
+            if seats[g] > 0:
+                label[row] = g
+                seats[g] -= 1
+                break
+    return label
+
+
+def _cosines(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    length = np.linalg.norm(centres, axis=1)
+    products = points @ centres.T
+    return np.round(np.divide(products, length, out=np.zeros_like(products), where=length > 0), DECIMALS)

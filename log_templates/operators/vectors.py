@@ -24,6 +24,32 @@ HOT_TERMS = 10_000
 SLACK = 1e-9
 
 
+def _weighed(
+    docs: DataFrame, id_col: str, tokens_col: str, by: list[str], copies_col: str | None, scratch: Scratch
+) -> DataFrame:
+    """``id, term, df, _raw``: tf * (ln((1 + n) / (1 + df)) + 1), all rows of an id in one place.
+
+    Documents are placed by id once, and the weight of a term comes to where they are; only
+    rare terms of a vocabulary too large to be sent are met by a shuffle.
+    """
+    copies = F.col(copies_col).cast("bigint") if copies_col else F.lit(1).cast("bigint")
+    placed = docs.select(*by, id_col, F.col(tokens_col).alias("_tokens"), copies.alias("_copies"))
+    tf = (
+        placed.repartition(id_col)
+        .select(*by, id_col, "_copies", F.explode("_tokens").alias("term"))
+        .groupBy(*by, id_col, "term")
+        .agg(F.count("*").alias("_tf"), F.first("_copies").alias("_copies"))
+    )
+    found = tf.groupBy(*by, "term").agg(F.count("*").alias("df"), F.sum("_copies").alias("_df"))
+    total = placed.groupBy(*by).agg(F.sum("_copies").alias("_n"))
+    found = found.join(total, by) if by else found.withColumn("_n", total.scalar())
+    idf = F.log((F.col("_n") + 1) / (F.col("_df") + 1)) + 1
+    vocabulary = scratch.save(found.select(*by, "term", "df", idf.alias("_idf")), "vocabulary")
+    return _with_idf(tf.drop("_copies"), vocabulary, by, scratch).select(
+        *by, id_col, "term", "df", (F.col("_tf") * F.col("_idf")).alias("_raw")
+    )
+
+
 def packed_vectors(
     docs: DataFrame,
     id_col: str = "line_id",
@@ -34,54 +60,26 @@ def packed_vectors(
 ) -> DataFrame:
     """One row per document: ``id, ranked, terms, total`` with ``ranked`` an array of ``(df, term, weight)``.
 
-    Weights are tf * (ln((1 + n) / (1 + df)) + 1) at unit length; ``ranked`` is sorted by
-    the number of rows with the term, ``total`` is the sum of weights.  ``copies_col`` lets one row
-    stand for several equal documents.  Documents are placed by id once, and the weight of a term comes to
-    where they are; only rare terms of a vocabulary too large to be sent are met by a shuffle.
+    The vectors are those of `tfidf`; ``ranked`` is sorted by the number of rows with the
+    term, ``total`` is the sum of weights.
     """
     by = list(by)
     scratch = scratch or Scratch(docs.sparkSession, "vectors")
-    copies = F.col(copies_col).cast("bigint") if copies_col else F.lit(1).cast("bigint")
-    placed = docs.select(*by, id_col, F.col(tokens_col).alias("_tokens"), copies.alias("_copies"))
-    found = (
-        placed.select(*by, "_copies", F.explode(F.array_distinct("_tokens")).alias("term"))
-        .groupBy(*by, "term")
-        .agg(F.count("*").alias("df"), F.sum("_copies").alias("_df"))
-    )
-    total = placed.groupBy(*by).agg(F.sum("_copies").alias("_n"))
-    found = found.join(total, by) if by else found.withColumn("_n", total.scalar())
-    idf = F.log((F.col("_n") + 1) / (F.col("_df") + 1)) + 1
-    vocabulary = scratch.save(found.select(*by, "term", "df", idf.alias("_idf")), "vocabulary")
-    tf = (
-        placed.repartition(id_col)
-        .select(*by, id_col, F.explode("_tokens").alias("term"))
-        .groupBy(*by, id_col, "term")
-        .agg(F.count("*").alias("_tf"))
-    )
     packs = (
-        _with_idf(tf, vocabulary, by, scratch)
+        _weighed(docs, id_col, tokens_col, by, copies_col, scratch)
         .groupBy(*by, id_col)
         .agg(
-            F.sort_array(
-                F.collect_list(F.struct("df", "term", (F.col("_tf") * F.col("_idf")).alias("weight")))
-            ).alias("_raw")
+            F.sort_array(F.collect_list(F.struct("df", "term", F.col("_raw").alias("weight")))).alias("_items"),
+            F.sqrt(F.sum(F.col("_raw") * F.col("_raw"))).alias("_length"),
+            F.count("*").alias("terms"),
+            F.sum("_raw").alias("_sum"),
         )
     )
-    length = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda acc, i: acc + i["weight"] * i["weight"]))
-    unit = packs.withColumn("_length", length).select(
-        *by,
-        id_col,
-        F.transform(
-            "_raw",
-            lambda i: F.struct(
-                i["df"].alias("df"), i["term"].alias("term"), (i["weight"] / F.col("_length")).alias("weight")
-            ),
-        ).alias("ranked"),
+    unit = lambda i: F.struct(
+        i["df"].alias("df"), i["term"].alias("term"), (i["weight"] / F.col("_length")).alias("weight")
     )
-    return unit.select(
-        "*",
-        F.size("ranked").cast("bigint").alias("terms"),
-        F.aggregate("ranked", F.lit(0.0), lambda acc, i: acc + i["weight"]).alias("total"),
+    return packs.select(
+        *by, id_col, F.transform("_items", unit).alias("ranked"), "terms", (F.col("_sum") / F.col("_length")).alias("total")
     )
 
 
@@ -109,11 +107,14 @@ def tfidf(
     by: Sequence[str] = (),
     copies_col: str | None = None,
 ) -> DataFrame:
-    """``id, term, weight``: the vectors of `packed_vectors`, one row per term."""
-    packs = packed_vectors(docs, id_col, tokens_col, by, copies_col)
-    return packs.select(*by, id_col, F.explode("ranked").alias("_i")).select(
-        *by, id_col, "_i.term", F.col("_i.weight").alias("weight")
-    )
+    """``id, term, weight``: tf * (ln((1 + n) / (1 + df)) + 1), unit length per document.
+
+    ``copies_col`` lets one row stand for several equal documents.
+    """
+    by = list(by)
+    raw = _weighed(docs, id_col, tokens_col, by, copies_col, Scratch(docs.sparkSession, "vectors"))
+    length = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(Window.partitionBy(*by, id_col)))
+    return raw.select(*by, id_col, "term", (F.col("_raw") / length).alias("weight"))
 
 
 def pack(vectors: DataFrame, id_col: str = "line_id", by: Sequence[str] = ()) -> DataFrame:

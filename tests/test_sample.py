@@ -1,3 +1,6 @@
+import math
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -109,3 +112,70 @@ def test_balanced_groups_fill_no_group_beyond_capacity(spark):
     assert got.count() == 53
     assert got.select("vec_id").distinct().count() == 53
     assert got.groupBy("group_id").count().agg(F.max("count")).first()[0] <= 10
+
+
+def plain_groups(points, capacity, rounds=10):
+    """Brute force of balanced k-means, row by row."""
+    cos = lambda a, b: 0.0 if not any(b) else round(sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(y * y for y in b)), 9)
+    n, count = len(points), -(-len(points) // capacity)
+    centres = [points[j * n // count] for j in range(count)]
+    best = lambda p: min(range(count), key=lambda g: (-cos(p, centres[g]), g))
+    for _ in range(rounds):
+        label = [best(p) for p in points]
+        for g in range(count):
+            mine = [p for p, x in zip(points, label, strict=True) if x == g]
+            if mine:
+                centres[g] = [sum(c) / len(mine) for c in zip(*mine, strict=True)]
+    groups = [[i for i in range(n) if best(points[i]) == g] for g in range(count)]
+    for g in range(count):
+        ordered = sorted(groups[g], key=lambda i: (-cos(points[i], centres[g]), i))
+        if len(ordered) > capacity:
+            groups[g] = ordered[:capacity]
+            for i in ordered[capacity:]:
+                for h in sorted(range(count), key=lambda h: (-cos(points[i], centres[h]), h)):
+                    if len(groups[h]) < capacity:
+                        groups[h].append(i)
+                        break
+    return [next(g for g in range(count) if i in groups[g]) for i in range(n)]
+
+
+@pytest.mark.parametrize("n,capacity", [(1, 3), (7, 3), (40, 4), (60, 7), (33, 33)])
+def test_balanced_kmeans_equals_brute_force(n, capacity):
+    rng = np.random.default_rng(n)
+    points = rng.choice([0.0, 1.0, 2.0], size=(n, 5), p=[0.5, 0.3, 0.2])
+    length = np.linalg.norm(points, axis=1, keepdims=True)
+    points = np.divide(points, length, out=np.zeros_like(points), where=length > 0)
+    got = sample.balanced_kmeans(points, capacity).tolist()
+    assert got == plain_groups(points.tolist(), capacity)
+    assert max(np.bincount(got)) <= capacity
+
+
+def test_cells_are_bounded_and_groups_stay_inside(spark):
+    rng = np.random.default_rng(1)
+    rows = [(k, [float(x) for x in rng.normal(size=6)]) for k in range(300)] + [(300 + k, [1.0] * 6) for k in range(200)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = sample.balanced_groups(df, 10, cell_rows=64).collect()
+    sizes = Counter(r["group_id"] for r in got)
+    assert len(got) == 500 and max(sizes.values()) <= 10 and sorted(sizes) == list(range(len(sizes)))
+    assert len(sizes) <= 50 + 32
+
+
+def test_similar_sample_is_the_group_of_the_first_line(spark):
+    words = ["alpha", "beta", "gamma", "delta", "eps"]
+    rng = np.random.default_rng(8)
+    rows = [(c * 100 + k, c, " ".join(rng.choice(words, size=4)) + f" u{c}x{k}") for c in range(3) for k in range(25)]
+    df = spark.createDataFrame(rows, "line_id bigint, cluster_id bigint, content string")
+    got = {c: [] for c in range(3)}
+    for r in sample.sample_batches(df, 6, "similar").collect():
+        got[r["cluster_id"]].append(r["line_id"])
+    for c in range(3):
+        lines = [(i, t.split()) for i, g, t in rows if g == c]
+        df_of = Counter(w for _, t in lines for w in set(t))
+        vocabulary = sorted(df_of)
+        points = []
+        for _, t in lines:
+            w = [t.count(x) * (math.log((1 + len(lines)) / (1 + df_of[x])) + 1) for x in vocabulary]
+            length = math.sqrt(sum(x * x for x in w))
+            points.append([x / length for x in w])
+        label = plain_groups(points, 6)
+        assert sorted(got[c]) == [i for (i, _), g in zip(lines, label, strict=True) if g == label[0]]
