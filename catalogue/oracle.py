@@ -503,8 +503,18 @@ def parsed_by_key(lines: str, by: str = "") -> str:
 
 
 add("parse_logs", "SELECT line_id, event_template FROM parsed", o.EVENT_LINES, parsed_by_key("event_lines"))
-for name in ("parse_logs_default", "parse_with_templates", "stream_parse"):
+for name in ("parse_logs_default", "parse_logs_chunks", "parse_with_templates", "stream_parse"):
     add(name, "SELECT line_id, truth_template AS event_template FROM event_lines", o.EVENT_LINES)
+add(
+    "template_hits",
+    "SELECT truth_template AS event_template, count(*) AS hits FROM event_lines GROUP BY truth_template",
+    o.EVENT_LINES,
+)
+add(
+    "stream_hits",
+    "SELECT event_type, truth_template AS event_template, count(*) AS hits FROM event_lines GROUP BY ALL",
+    o.EVENT_LINES,
+)
 add(
     "template_summary",
     """SELECT 'E' || row_number() OVER (ORDER BY count(*) DESC, min(line_id)) AS event_id, event_template, count(*) AS occurrence

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -455,6 +456,22 @@ def parse_logs_default(spark, sf_dir):
     return parsed.select("line_id", "event_template")
 
 
+@query
+def parse_logs_chunks(spark, sf_dir):
+    """Chunks of a thousand lines, mined side by side and merged."""
+    lines = inputs.event_lines(spark, sf_dir).select("line_id", "content")
+    parsed, _ = parse.parse_logs(lines, options=replace(PLAIN, chunk_size=1_000, lead=False))
+    return parsed.select("line_id", "event_template")
+
+
+@query
+def template_hits(spark, sf_dir):
+    """The template table that a parse in chunks returns, with the lines each template took."""
+    lines = inputs.event_lines(spark, sf_dir).select("line_id", "content")
+    _, templates = parse.parse_logs(lines, options=replace(PLAIN, chunk_size=2_000))
+    return templates.select("event_template", "hits")
+
+
 @query
 def parse_with_templates(spark, sf_dir):
     lines = inputs.event_lines(spark, sf_dir).select("line_id", "content")
@@ -659,15 +676,27 @@ def stream_match(spark, sf_dir):
     return spark.read.parquet(out).select("line_id", "content", "event_template")
 
 
-@query
-def stream_parse(spark, sf_dir):
-    scratch = Scratch(spark, "query-stream-parse")
-    lines = inputs.render_events(_event_stream(spark, sf_dir, scratch)).select("line_id", "content")
-    out = f"{scratch.path}/out"
+def _parsed_stream(spark: SparkSession, sf_dir: str, scratch: Scratch, by: tuple[str, ...] = ()) -> tuple[str, str]:
+    """Parse the replayed events; the folders of the lines and of the template log."""
+    lines = inputs.render_events(_event_stream(spark, sf_dir, scratch)).select(*by, "line_id", "content")
+    out, known = f"{scratch.path}/out", f"{scratch.path}/known"
     (
-        stream.stream_parse(lines, f"{scratch.path}/known", out, f"{scratch.path}/state", PLAIN)
+        stream.stream_parse(lines, known, out, f"{scratch.path}/state", PLAIN, by)
         .trigger(availableNow=True)
         .start()
         .awaitTermination()
     )
+    return out, known
+
+
+@query
+def stream_parse(spark, sf_dir):
+    out, _ = _parsed_stream(spark, sf_dir, Scratch(spark, "query-stream-parse"))
     return stream.read_parsed_stream(spark, out).select("line_id", "event_template")
+
+
+@query
+def stream_hits(spark, sf_dir):
+    """The template table that a stream keeps for each type of event."""
+    _, known = _parsed_stream(spark, sf_dir, Scratch(spark, "query-stream-hits"), ("event_type",))
+    return stream.read_stream_templates(spark, known, by=["event_type"]).select("event_type", "event_template", "hits")
