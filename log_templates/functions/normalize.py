@@ -30,6 +30,11 @@ TOKEN_ENDS = PATH_ENDS + r".\-+@#$%&"
 # Words that always stand for a variable.
 VARIABLE_WORDS = ("true", "false", "null", "root", "admin")
 
+# What counts as a path, without and with a slash at its end, and as a dotted name.
+PATH = r"^(\/[^\/]+)+$"
+PATH_OR_FOLDER = r"^(\/[^\/]+)+\/?$"
+DOTTED_NAME = r"^([a-z0-9-]+\.){2,}[a-z]+$"
+
 # What a text must hold for the path rules or the word rules to change it.
 PATH_HINT = r"/|\.[a-z0-9-]+\."
 WORD_HINT = r"\d|<\*>|" + "|".join(VARIABLE_WORDS)
@@ -47,34 +52,17 @@ def _merge_runs(text: Column, separator: str) -> Column:
     return F.regexp_replace(text, rf"<\*>(?:{separator}<\*>)+", PLACEHOLDER)
 
 
-def _is_path(token: Column) -> Column:
-    return (
-        F.startswith(token, F.lit("/"))
-        & (token != "/")
-        & ~F.contains(token, F.lit("//"))
-    )
-
-
-def _is_dotted_name(token: Column) -> Column:
-    return (
-        F.contains(token, F.lit("."))
-        & (count_of(token, ".") >= 2)
-        & ~F.contains(token, F.lit(".."))
-        & token.rlike(r"^[a-z0-9-][a-z0-9.-]*\.[a-z]+\z")
-    )
-
-
 def _paths(text: Column, ruleset: str) -> Column:
     def rule(token: Column) -> Column:
         if ruleset == "oracle":
-            variable = _is_path(token) & ~F.endswith(token, F.lit("/"))
+            variable = token.rlike(PATH)
         else:
             mixed = (
                 F.contains(token, F.lit(PLACEHOLDER))
                 & F.contains(token, F.lit("."))
                 & F.contains(token, F.lit("/"))
             )
-            variable = _is_path(token) | _is_dotted_name(token) | mixed
+            variable = token.rlike(PATH_OR_FOLDER) | token.rlike(DOTTED_NAME) | mixed
         return F.when(variable, PLACEHOLDER).otherwise(token)
 
     ends = PATH_ENDS_LARGE if ruleset == "large" else PATH_ENDS

@@ -27,6 +27,11 @@ STOP_WORDS = (
     "Jan", "Feb", "Mar", "Apr", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec",
 )
 
+# Whole and decimal numbers, digits, and the marks that are blanked before words are counted.
+NUMBER = r"(?U)\d+(\.\d+)?"
+DIGITS = r"(?U)\d+"
+CLEANED_MARKS = r'[:()=,"{}@\[\]|;]|\.?!'
+
 # The separators a log line is cut at before clustering.
 TOKEN_SEPARATORS = r"[ ,|]"
 
@@ -74,12 +79,12 @@ def count_of(text: Column, char: str) -> Column:
 
 def mask_numbers(text: Column | str) -> Column:
     """Replace whole and decimal numbers by ``0``."""
-    return F.regexp_replace(as_column(text), r"(?U)\d+(\.\d+)?", "0")
+    return F.regexp_replace(as_column(text), NUMBER, "0")
 
 
 def drop_digits(text: Column | str) -> Column:
     """The text without any digit."""
-    return F.regexp_replace(as_column(text), r"(?U)\d+", "")
+    return F.regexp_replace(as_column(text), DIGITS, "")
 
 
 def has_digit(text: Column) -> Column:
@@ -116,7 +121,7 @@ def cluster_tokens(
 
 def clean_words(text: Column | str) -> Column:
     """Words of a line once punctuation is blanked and words with digits are gone."""
-    blanked = F.regexp_replace(as_column(text), r'[:()=,"{}@\[\]|;]|\.?!', " ")
+    blanked = F.regexp_replace(as_column(text), CLEANED_MARKS, " ")
     return F.filter(split_words(blanked), lambda w: ~has_digit(w))
 
 
