@@ -287,3 +287,36 @@ def test_divergence_sql(spark, sf_dir):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
     want = {tuple(r) for r in con.execute(f"SELECT lang, source, part, item, value, rank FROM ({OP13})").fetchall()}
     assert found(QUERIES["op13_source_divergence"](spark, sf_dir)) == want
+
+
+# --- rules of urls against plain counting ------------------------------------------------
+
+
+def test_mined_url_rules_equal_plain_counting(spark):
+    from itertools import combinations
+
+    from log_templates.llm.url_rules import filter_urls, mine, tokens_of
+
+    rng = random.Random(2)
+    rows = []
+    for k in range(450):
+        host, folder = rng.choice(["a.org", "spam.biz", "b.net"]), rng.choice(["buy", "news", "x"])
+        block = rng.random() < (0.95 if host == "spam.biz" and folder == "buy" else 0.2)
+        rows.append((k, f"http://{host}/{folder}/{k}?{rng.choice('pq')}=1", block))
+    df = spark.createDataFrame(rows, "page_id long, url string, block boolean")
+    baskets = [(set(r.t), r.block) for r in df.select(tokens_of(F.col("url")).alias("t"), "block").collect()]
+    least = max(0.002 * len(baskets), 20)
+    want = {}
+    for size in range(1, 11):
+        for tokens in {c for b, _ in baskets for c in combinations(sorted(b), size)}:
+            held = [block for b, block in baskets if b >= set(tokens)]
+            if sum(held) >= least and sum(held) / len(held) >= 0.7:
+                want[tokens] = sum(held) / len(held)
+    got = {tuple(sorted(r.tokens)): r.confidence for r in mine(df).collect()}
+    assert want and got.keys() == want.keys()
+    assert all(abs(got[t] - want[t]) < 1e-9 for t in want)
+    verdicts = {r.page_id: r["_url"] for r in filter_urls(df, df, Scratch(spark, "t")).collect()}
+    for (k, _, _), (tokens, _) in zip(rows, baskets, strict=True):
+        best = max((c for t, c in want.items() if tokens >= set(t)), default=None)
+        assert verdicts[k].verdict == ("allow" if best is None else "block")
+        assert best is None or abs(verdicts[k].confidence - best) < 1e-9
