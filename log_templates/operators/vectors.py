@@ -132,6 +132,11 @@ def pack(vectors: DataFrame, id_col: str = "line_id", by: Sequence[str] = ()) ->
     )
 
 
+def by_term(ranked: str) -> Column:
+    """The ``(term, weight)`` of a packed vector."""
+    return F.transform(ranked, lambda i: F.struct(i["term"].alias("term"), i["weight"].alias("weight")))
+
+
 def dot(left: Column, right: Column) -> Column:
     """Dot product of two arrays of ``(term, weight)``.
 
@@ -217,7 +222,7 @@ def similar_pairs(
 ) -> DataFrame:
     """Every pair ``a < b`` of unit vectors within Euclidean distance ``eps``: ``a, b, cos``.
 
-    ``vectors`` are long or packed.  With ``probe``, a boolean column of packed vectors, only pairs
+    ``vectors`` are long, or packed and written.  With ``probe``, a boolean column of packed vectors, only pairs
     with at least one vector that has it.
 
     Exact.  Pairs are looked up through their blocking keys, so only vectors
@@ -229,8 +234,7 @@ def similar_pairs(
     by = list(by)
     cos = 1 - eps * eps / 2
     scratch = scratch or Scratch(vectors.sparkSession, "pairs")
-    packs = vectors if "ranked" in vectors.columns else pack(vectors, id_col, by)
-    packs = scratch.save(packs, "packs")
+    packs = vectors if "ranked" in vectors.columns else scratch.save(pack(vectors, id_col, by), "packs")
     probing = packs.where(probe) if probe else packs
     probes = probing.select(
         *by,
@@ -278,21 +282,13 @@ def similar_pairs(
         .select(*by, F.col("_lower").alias("a"), F.col("_upper").alias("b")),
         "candidates", wide=True
     )
-    items = packs.select(
-        *by,
-        F.col(id_col).alias("_id"),
-        F.sort_array(
-            F.transform(
-                "ranked", lambda i: F.struct(i["term"].alias("term"), i["weight"].alias("weight"))
-            )
-        ).alias("_items"),
-    )
+    items = packs.select(*by, F.col(id_col).alias("_id"), F.col("ranked").alias("_items"))
     left = items.withColumnsRenamed({"_id": "a", "_items": "_left"})
     right = items.withColumnsRenamed({"_id": "b", "_items": "_right"})
     return (
         candidates.join(left, [*by, "a"])
         .join(right, [*by, "b"])
-        .select(*by, "a", "b", dot(F.col("_left"), F.col("_right")).alias("cos"))
+        .select(*by, "a", "b", dot(by_term("_left"), by_term("_right")).alias("cos"))
         .where(F.col("cos") >= cos - SLACK)
     )
 
