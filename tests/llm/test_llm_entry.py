@@ -39,6 +39,15 @@ def test_query_equals_sql(spark, sf_dir, name):
     assert ours == clean(con.execute(f"SELECT {quoted} FROM ({ORACLE[name]})").fetchall())
 
 
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_query_has_the_columns_of_its_sql(spark, sf_dir, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    told = con.execute(f"DESCRIBE {ORACLE[name]}").fetchall()
+    assert set(entry.queries()[name](spark, sf_dir).columns) == {row[0] for row in told}
+
+
 def test_held_out_quality(spark):
     sf_dir = "/root/testdata/sf0.01"
     got = QUERIES["op1_rule_ensemble"](spark, sf_dir).where("held_out")
