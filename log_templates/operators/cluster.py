@@ -25,6 +25,9 @@ from log_templates.operators.mean_shift import mean_shift_clusters
 from log_templates.operators.vectors import packed_vectors
 from log_templates.tables import Scratch, number_in_order
 
+# Words with more than one part in so many of all occurrences are sent to the lines.
+FREQUENT_WORDS = 100_000
+
 
 def density_clusters(
     lines: DataFrame,
@@ -121,7 +124,8 @@ def token_keys(
 
     ``token_key`` holds the ``top`` most frequent words of the cleaned line,
     sorted; it is null for lines with at most one clean word.  Words are counted
-    and ranked once per distinct cleaned line, not once per line.
+    and ranked once per distinct cleaned line, not once per line, and a cleaned
+    line is known by a digest, so its text does not travel with its words.
     """
     if granularity not in ("coarse", "fine"):
         raise ValueError("granularity is 'coarse' or 'fine'")
@@ -132,28 +136,54 @@ def token_keys(
         "_clean",
         bind(clean_words(content_col), lambda w: F.when(F.size(w) > 1, F.array_join(w, " "))),
     )
+    key = F.unhex(F.md5(F.col("_clean").cast("binary"))).alias("_key")
     counted = cleaned.groupBy(*by, "_clean").agg(F.sum(copies).alias("_copies"))
-    distinct = scratch.save(counted.where(F.col("_clean").isNotNull()), "cleaned", wide=True)
+    distinct = counted.where(F.col("_clean").isNotNull()).select(*by, key, "_clean", "_copies")
+    distinct = scratch.save(distinct, "cleaned", wide=True)
     counts = token_counts(distinct, by, F.split("_clean", " "), F.col("_copies"))
-    kept = drop_stop_words(F.split("_clean", " "))
-    ranked = (
-        distinct.select(*by, "_clean", F.explode(F.array_distinct(kept)).alias("token"))
-        .join(counts, [*by, "token"])
-        .groupBy(*by, "_clean")
-        .agg(F.sort_array(F.collect_list(F.struct((-F.col("occurrence")).alias("o"), "token"))).alias("_all"))
+    keys = _top_words(distinct, scratch.save(counts, "word-counts"), by, top, scratch)
+    signature = format_signature(content_col) if granularity == "fine" else F.lit("")
+    return (
+        cleaned.select(*lines.columns, key, signature.alias("signature"))
+        .join(keys, [*by, "_key"], "left")
+        .select(*lines.columns, "token_key", "signature")
+    )
+
+
+def _top_words(distinct: DataFrame, counts: DataFrame, by: list[str], top: int, scratch: Scratch) -> DataFrame:
+    """``_key, token_key``: the ``top`` most frequent words of every cleaned line.
+
+    Frequent words, of which there are fewer than `FREQUENT_WORDS`, are sent to the lines.  A line with ``top``
+    of them has its answer; only the other words of the other lines meet their counts by a shuffle.
+    """
+    total = counts.agg(F.sum("occurrence")).first()[0] or 0
+    frequent = counts.where(F.col("occurrence") > total / FREQUENT_WORDS)
+    words = F.array_distinct(drop_stop_words(F.split("_clean", " ")))
+    word = F.struct((-F.col("occurrence")).alias("o"), "token")
+    placed = distinct.repartition(*by, "_key").select(*by, "_key", F.explode_outer(words).alias("token"))
+    best = (
+        placed.join(F.broadcast(frequent), [*by, "token"], "left")
+        .groupBy(*by, "_key")
+        .agg(
+            F.sort_array(F.collect_list(F.when(F.col("occurrence").isNotNull(), word))).alias("_known"),
+            F.collect_list(F.when(F.col("occurrence").isNull(), F.col("token"))).alias("_others"),
+        )
         .select(
-            *by,
-            "_clean",
-            F.sort_array(F.transform(F.slice("_all", 1, top), lambda t: t["token"])).alias("_top"),
+            *by, "_key", F.slice("_known", 1, top).alias("_known"),
+            F.when(F.size("_known") < top, F.col("_others")).alias("_others"),
         )
     )
-    keys = distinct.select(*by, "_clean").join(ranked, [*by, "_clean"], "left").select(
-        *by, "_clean", F.coalesce("_top", F.array().cast("array<string>")).alias("token_key")
+    best = scratch.save(best, "best-words")
+    others = (
+        best.select(*by, "_key", F.explode("_others").alias("token"))
+        .join(counts, [*by, "token"])
+        .groupBy(*by, "_key")
+        .agg(F.sort_array(F.collect_list(word)).alias("_rare"))
+        .select(*by, "_key", F.slice("_rare", 1, top).alias("_rare"))
     )
-    signature = format_signature(content_col) if granularity == "fine" else F.lit("")
-    return (
-        cleaned.join(keys, [*by, "_clean"], "left")
-        .select(*lines.columns, "token_key", signature.alias("signature"))
+    every = F.sort_array(F.concat("_known", F.coalesce("_rare", F.array().cast("array<struct<o:bigint,token:string>>"))))
+    return best.select(*by, "_key", "_known").join(others, [*by, "_key"], "left").select(
+        *by, "_key", F.sort_array(F.transform(F.slice(every, 1, top), lambda t: t["token"])).alias("token_key")
     )
 
 

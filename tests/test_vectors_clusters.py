@@ -217,3 +217,20 @@ def test_a_large_vocabulary_is_split_by_heat(spark, monkeypatch):
     got = {(r["line_id"], r["term"]): r["weight"] for r in vectors.tfidf(df).collect()}
     want = {(i, t): w for i, d in enumerate(brute_tfidf(docs)) for t, w in d.items()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+@pytest.mark.parametrize("frequent", [2, 20, 100_000])
+def test_top_words_however_many_are_frequent(spark, monkeypatch, frequent):
+    """Lines whose answer is among the frequent words, partly among them, and not at all; also two systems."""
+    monkeypatch.setattr(cluster, "FREQUENT_WORDS", frequent)
+    texts = ["alpha beta gamma delta one", "alpha beta zulu", "zulu yankee xray", "alpha beta gamma", "to it", "single", "alpha beta gamma"]
+    rows = [(s, i, t) for s in ("x", "y") for i, t in enumerate(texts[: 7 if s == "x" else 3])] + [("x", 9, None)]
+    lines = spark.createDataFrame(rows, "system string, line_id long, content string")
+    got = {(r["system"], r["line_id"]): r["token_key"] for r in cluster.token_keys(lines, by=["system"]).collect()}
+    for s in ("x", "y"):
+        kept = {i: [w for w in t.split() if len(w) > 2] for x, i, t in rows if x == s and t}
+        counts = Counter(w for words in kept.values() if len(words) for w in words if words != ["single"])
+        for i, words in kept.items():
+            want = sorted(sorted(set(words), key=lambda w: (-counts[w], w))[:3])
+            assert got[s, i] == (None if i == 5 else want)
+    assert got["x", 9] is None
