@@ -128,3 +128,19 @@ def test_subsumption(spark):
         ("a <*> c", "a b c"), ("a <*> c", "a  b c"), ("a <*> c", r"a \E c"), ("<*> b c", "a b c"),
         ("<*> b c", "a  b c"), ("a b c", "a  b c"),
     }
+
+
+def test_a_line_is_not_shuffled_for_words_that_are_no_anchor(spark):
+    """Anchors of checked size are met before the join, and the result is that of the lookup."""
+    lines = spark.createDataFrame(
+        [(1, "user 7 came in " + "w " * 3), (2, "disk full"), (3, "nothing known"), (4, "")], "line_id long, content string"
+    )
+    templates = spark.createDataFrame(
+        [(1, "user <*> came in w w w", "user 7 came in w w w", 3), (2, "disk <*>", "disk full", 2), (3, "<*>", "x", 1)],
+        "template_id long, event_template string, reference_log string, hits long",
+    )
+    shuffled = match.match_templates(lines, templates, max_lookup_rows=0)
+    plan = shuffled._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftSemi" in plan
+    looked_up = match.match_templates(lines, templates)
+    assert sorted(shuffled.collect()) == sorted(looked_up.collect())
