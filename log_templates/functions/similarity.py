@@ -12,6 +12,12 @@ SEPARATORS = r"""!"#$%&'()+,\-/:;=?@.\[\\\]^_`{|}~"""
 DROPPED = r"""[!"#$%&'+,\-/:;?@.\[\\\]^_`{}~ ]"""
 
 
+def _is_word(run: Column) -> Column:
+    """A run that begins with an ASCII letter or digit: no separator or blank is in it."""
+    code = F.ascii(run)
+    return code.between(97, 122) | code.between(65, 90) | code.between(48, 57)
+
+
 def similarity_tokens(template: Column | str) -> Column:
     """Words and kept marks of a template; neighbouring placeholders become one."""
     source = as_column(template)
@@ -20,13 +26,16 @@ def similarity_tokens(template: Column | str) -> Column:
     )
     marked = F.transform(
         runs,
-        lambda t: F.when(F.contains(t, F.lit(PLACEHOLDER)), PLACEHOLDER).otherwise(
-            F.regexp_replace(t, DROPPED, "")
-        ),
+        lambda t: F.when(F.contains(t, F.lit(PLACEHOLDER)), PLACEHOLDER)
+        .when(_is_word(t), t)
+        .when(t == " ", "")
+        .otherwise(F.regexp_replace(t, DROPPED, "")),
     )
     tokens = F.transform(
         F.filter(marked, lambda t: t != ""),
-        lambda t: F.regexp_replace(t, rf"(?U)^{BLANK}+|{BLANK}+\z", ""),
+        lambda t: F.when(_is_word(t) | (t == PLACEHOLDER), t).otherwise(
+            F.regexp_replace(t, rf"(?U)^{BLANK}+|{BLANK}+\z", "")
+        ),
     )
     # A placeholder after a placeholder goes; the token before is found by shifting.
     shifted = F.concat(F.array(F.lit("")), tokens)
