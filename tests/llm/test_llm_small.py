@@ -131,6 +131,35 @@ def test_rounds_train_on_every_word_once():
         assert [k for p in parts for k in p] == list(range(length))
 
 
+def test_words_and_unseen_ones_share_a_class():
+    counts = [7, 1, 1]
+    by = lm.ClassWords(np.array([0, sum(counts)]), np.array([0, len(counts)]))
+    slot, spelled = by.slot(), by.spelled()
+    seen = 10 ** lm.either(np.array([*counts, 0]), slot[1], -np.inf)  # all by count, the last one unseen
+    assert np.isclose(seen.sum() + 10 ** spelled[1], 1) and np.isclose(10 ** spelled[1], 4 / 14)
+    assert np.isclose(10 ** slot[0] + 10 ** spelled[0], 1)  # a class without words
+    assert np.isclose(lm.either(2, -3.0, -400.0), np.log10(0.003))
+
+
+def test_weights_count_texts_as_often():
+    shape = attention.Shape(12, 4, 8, 4)
+    rng = np.random.default_rng(1)
+    flat = shape.start(np.full(12, -2.5, np.float32)).astype(np.float64)
+    length = np.array([3, 4, 4, 4])
+    begin = np.cumsum(length) - length
+    x, y = rng.integers(0, 12, 15), rng.integers(0, 12, 15)
+    x[7:] = np.tile(x[3:7], 2)
+    y[7:] = np.tile(y[3:7], 2)
+
+    def run(texts, times):
+        text, place = shape.windows(length[texts])
+        rows, there, asked = shape.gather(begin[texts][text], length[texts][text], place)
+        return attention.loss_and_gradient(shape, flat, x[rows], there, asked, y[rows[:, 4:]], times)
+
+    (loss, grad), (want, want_grad) = run([0, 1], np.array([1, 3])), run([0, 1, 2, 3], None)
+    assert abs(loss - want) < 1e-12 and np.allclose(grad, want_grad, atol=1e-12)
+
+
 def test_records_round_trip_in_small_chunks():
     made = [
         warc.record(7, 0, "http://a/\nb", "hé".encode(), None, False),

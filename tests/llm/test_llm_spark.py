@@ -193,6 +193,14 @@ def test_language_model_base_equals_brute_force(spark, docs, empty):
     assert {(r["train_tokens"], r["n_known"], round(r["base_score"], 9)) for r in alone.collect()} == {(0, 0, 0.0)}
 
 
+def test_language_model_scores_by_the_words_before(spark):
+    """Words that follow from those before are nearly sure, whatever their share of all words."""
+    text = " ".join(["one", "two", "three", "four"] * 100)
+    docs = spark.createDataFrame([(k, text) for k in range(60)], "doc_id long, text string").coalesce(2)
+    got = score_texts(docs, F.col("doc_id") % 5 != 0, model_bytes(str(RANKS)), Scratch(spark, "t")).collect()
+    assert all(r["score"] > 0.3 * r["base_score"] for r in got)
+
+
 URLS = ["http://A.Example.com/x/1?q=1#f", "https://spam.example.net/en/7", None, "no scheme", "ftp://example.org", "http://sub.example.org/es/1"]
 
 
