@@ -8,7 +8,6 @@ not idempotent, so apply them once.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -35,16 +34,19 @@ PATH = r"^(\/[^\/]+)+$"
 PATH_OR_FOLDER = r"^(\/[^\/]+)+\/?$"
 DOTTED_NAME = r"^([a-z0-9-]+\.){2,}[a-z]+$"
 
-# What a text must hold for the path rules or the word rules to change it.
+# What a text must hold for the path rules to change it.
 PATH_HINT = r"/|\.[a-z0-9-]+\."
-WORD_HINT = r"\d|<\*>|" + "|".join(VARIABLE_WORDS)
 
 RULESETS = ("base", "large", "oracle", "light", "general")
 
 
 def _cut(text: Column, ends: str) -> Column:
-    """Tokens and the single delimiters between them, nothing lost."""
-    return F.regexp_extract_all(text, F.lit(f"(?U)[^{ends}]+|[{ends}]"), F.lit(0))
+    """Tokens and the runs of delimiters between them, nothing lost.
+
+    The text's blanks are collapsed, so a space is the only one it can hold.
+    """
+    ends = ends.replace(r"\s", " ")
+    return F.regexp_extract_all(text, F.lit(f"[^{ends}]+|[{ends}]+"), F.lit(0))
 
 
 def _merge_runs(text: Column, separator: str) -> Column:
@@ -91,6 +93,16 @@ def _words(text: Column, ruleset: str, user_strings: Iterable[str]) -> Column:
     return F.array_join(F.transform(_cut(text, TOKEN_ENDS), rule), "")
 
 
+def _may_hold_variables(text: Column, ruleset: str, user_strings: Iterable[str]) -> Column:
+    """What a text must hold for the word rules to change it: a digit, a placeholder, or one of the words."""
+    lower = F.lower(text)
+    hint = F.contains(text, F.lit(PLACEHOLDER)) | text.rlike(r"(?U)\d")
+    for name in () if ruleset == "light" else (*VARIABLE_WORDS, *user_strings):
+        # Outside ASCII a letter's lower case can depend on the letters around it.
+        hint = hint | (F.contains(lower, F.lit(name.lower())) if name.isascii() else F.lit(True))
+    return hint
+
+
 def _unwrap_hashes(text: Column) -> Column:
     """Peel ``#<*>#`` from the inside out until none is left."""
     layers = F.when(
@@ -177,9 +189,9 @@ def normalized(
         text = bind(
             text, lambda t: F.when(t.rlike(PATH_HINT), _paths(t, ruleset)).otherwise(t)
         )
-    hint = "|".join([WORD_HINT, *(re.escape(name) for name in user_strings)])
     text = bind(
-        text, lambda t: F.when(t.rlike(f"(?iU){hint}"), _words(t, ruleset, user_strings)).otherwise(t)
+        text,
+        lambda t: F.when(_may_hold_variables(t, ruleset, user_strings), _words(t, ruleset, user_strings)).otherwise(t),
     )
     # Merging concerns texts with a placeholder only.
     return bind(

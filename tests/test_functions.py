@@ -179,3 +179,18 @@ def test_user_strings_may_be_a_generator_with_any_characters(spark):
     names = (n for n in ["bob", r"\E(x"])
     got = [r[0] for r in frame.select(normalize.normalized("t", "base", names)).collect()]
     assert got[0] == "say hello <*> now" and len(got) == 2
+
+
+def test_normaliser_cuts_runs_of_delimiters_once(spark):
+    from log_templates.functions import normalize
+
+    rows = [("a,, b  =c",), ("ROOT, x",), ("plain words; only",), ("12 a",), ("٣",), ("x<*>",), ("",), (None,)]
+    df = spark.createDataFrame(rows, "t string")
+    assert df.select(normalize._cut(F.col("t"), normalize.TOKEN_ENDS)).first()[0] == ["a", ",, ", "b", "  =", "c"]
+    hint = normalize._may_hold_variables(F.col("t"), "base", ())
+    assert [r[0] for r in df.select(hint).collect()] == [False, True, False, True, True, True, False, None]
+    for user_strings in ((), ("Köln", "words")):
+        hint = normalize._may_hold_variables(F.col("t"), "base", user_strings)
+        cut = normalize._words(F.col("t"), "base", user_strings)
+        for text, held, changed in df.select("t", hint, cut).collect():
+            assert held or changed == text  # nothing the rules would change is passed over
