@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -139,11 +140,11 @@ def _diverse_large(
     A pass joins the vectors with the few terms of the lines picked so far, sums
     the products per line, and folds them into the volume the line still adds.
     The best line is found with partial aggregation, so no cluster is ever
-    gathered in one place, and nothing line-sized is kept between rounds.
+    gathered in one place, and nothing line-sized is kept between rounds.  The vectors lie
+    by line on the executors' disks, so the sums per line need no shuffle.
     """
-    base = scratch.save(
-        lines.select(*keys, id_col).join(vectors, [*keys, id_col], "left"), "volume-base"
-    )
+    placed = lines.select(*keys, id_col).join(vectors, [*keys, id_col], "left").repartition(*keys, id_col)
+    base = placed.persist(StorageLevel.DISK_ONLY)
     picks = None
     for step in range(k):
         if picks is None:
@@ -195,6 +196,7 @@ def _diverse_large(
         )
         chosen = scratch.save(base.join(chosen, [*keys, id_col]), f"volume-{step}")
         picks = chosen if picks is None else picks.unionByName(chosen)
+    base.unpersist()
     return lines.join(picks.select(*keys, id_col).distinct(), [*keys, id_col], "left_semi")
 
 

@@ -182,8 +182,6 @@ def test_user_strings_may_be_a_generator_with_any_characters(spark):
 
 
 def test_normaliser_cuts_runs_of_delimiters_once(spark):
-    from log_templates.functions import normalize
-
     rows = [("a,, b  =c",), ("ROOT, x",), ("plain words; only",), ("12 a",), ("٣",), ("x<*>",), ("",), (None,)]
     df = spark.createDataFrame(rows, "t string")
     assert df.select(normalize._cut(F.col("t"), normalize.TOKEN_ENDS)).first()[0] == ["a", ",, ", "b", "  =", "c"]

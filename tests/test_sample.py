@@ -65,6 +65,22 @@ def test_diverse_equals_greedy_determinant_in_both_plans(spark):
     assert ids(large) == sorted(want)
 
 
+def test_rounds_of_a_large_cluster_sum_per_line_in_place(spark, monkeypatch):
+    steps, save = {}, sample.Scratch.save
+
+    def seen(self, df, label="step", **kw):
+        if label.startswith("volume-"):
+            steps[label] = df._jdf.queryExecution().optimizedPlan().toString()
+        return save(self, df, label, **kw)
+
+    monkeypatch.setattr(sample.Scratch, "save", seen)
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    assert sample.sample_batches(lines_of(spark, [30]), 3, "diverse", group_rows=0).count() == 3
+    assert set(steps) == {"volume-0", "volume-1", "volume-2"}
+    assert all("InMemoryRelation" in plan for plan in steps.values())
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
 def test_diverse_with_lines_without_words(spark):
     rows = [(i, t, 0) for i, t in enumerate(["-", "+", "ab cd", "ab ef", "ab cd ef"])]
     lines = spark.createDataFrame(rows, "line_id bigint, content string, cluster_id bigint")
