@@ -652,11 +652,12 @@ def natural_order(spark, sf_dir):
 
 
 def _event_stream(spark: SparkSession, sf_dir: str, scratch: Scratch) -> DataFrame:
-    """The event table replayed in several files, one per micro-batch."""
+    """The event table replayed in four micro-batches, each of as many files as the table's scan keeps cores busy."""
     events = inputs.table(spark, sf_dir, "events")
     path = f"{scratch.path}/replay"
-    events.repartitionByRange(4, "event_id").write.parquet(path)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    each = min(spark.sparkContext.defaultParallelism, events.rdd.getNumPartitions())
+    events.repartitionByRange(4 * each, "event_id").write.parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", each).parquet(path)
 
 
 @query

@@ -1,10 +1,12 @@
 import pytest
 from pyspark.sql import functions as F
 
+from catalogue.spark_queries import _event_stream
 from log_templates.operators.match import match_templates
 from log_templates.plans.mine import ParseOptions
 from log_templates.sources import formats, readers, sinks
 from log_templates.streaming import stream
+from log_templates.tables import Scratch
 
 FAST = ParseOptions(clustering="token_key", sample_method="random")
 
@@ -139,3 +141,18 @@ def test_corrected_truth_round_trip(spark, tmp_path):
     assert [(r["event_id"], r["event_template"]) for r in back] == [("E10", "user <*> in")] * 2 + [("E1", "x")] * 2
     table = spark.read.csv(str(tmp_path / "table"), header=True).collect()
     assert [(r["EventId"], r["EventTemplate"], r["Occurrences"]) for r in table] == [("E1", "x", "2"), ("E10", "user <*> in", "2")]
+
+
+def test_replayed_batches_keep_several_cores_busy(spark, tmp_path):
+    """A batch of one file is written and matched by one task, however large it is."""
+    made = spark.range(40_000).select(F.col("id").alias("event_id"), F.sha2(F.col("id").cast("string"), 256).alias("props"))
+    made.write.parquet(str(tmp_path / "events.parquet"))
+    batches = {}
+
+    def look(batch, batch_id):
+        batches[batch_id] = [(r["f"], r["n"]) for r in batch.groupBy(F.input_file_name().alias("f")).agg(F.count("*").alias("n")).collect()]
+
+    replay = _event_stream(spark, str(tmp_path), Scratch(spark, "replay"))
+    replay.writeStream.option("checkpointLocation", str(tmp_path / "c")).foreachBatch(look).trigger(availableNow=True).start().awaitTermination()
+    assert len(batches) == 4 and all(len(files) > 1 for files in batches.values())
+    assert sum(n for files in batches.values() for _, n in files) == 40_000
