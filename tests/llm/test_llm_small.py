@@ -4,6 +4,7 @@ import gzip
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("log_templates.llm")
@@ -131,6 +132,16 @@ def test_rounds_train_on_every_word_once():
         assert [k for p in parts for k in p] == list(range(length))
 
 
+def test_texts_are_cut_as_python_cuts_bytes():
+    texts = ["  A b\tC\n", None, "", " \t\n", "É\u00a0x y \x1c z\x0b w", "one"]
+    bounds, words = lm.word_lists(pa.array(texts))
+    words = words.cast(pa.binary()).to_pylist()
+    got = [words[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    assert got == [(t or "").encode().lower().split() for t in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * lm.SLICE_BYTES, "a", None, "b"])], names=["text"])
+    assert [p.num_rows for p in lm.of_size([batch])] == [1, 3]
+
+
 def test_words_and_unseen_ones_share_a_class():
     counts = [7, 1, 1]
     by = lm.ClassWords(np.array([0, sum(counts)]), np.array([0, len(counts)]))

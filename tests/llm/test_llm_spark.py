@@ -15,7 +15,7 @@ from log_templates.llm import mixing
 from log_templates.llm.common import Scratch, remainder, table
 from log_templates.llm.exact_dedup import exact_dedup, keep_first
 from log_templates.llm.language import identify_languages
-from log_templates.llm.lm import score_texts
+from log_templates.llm.lm import fit_words, score_texts
 from log_templates.llm.minhash import minhash_components
 from log_templates.llm.pieces import decode_pieces, encode_pieces
 from log_templates.llm.quality_rules import quality_rules
@@ -201,6 +201,15 @@ def test_language_model_scores_by_the_words_before(spark):
     assert all(r["score"] > 0.3 * r["base_score"] for r in got)
 
 
+def test_spelling_is_priced_once_for_each_word_of_all_texts(spark):
+    """Also for words that only texts outside the training have; they count as not seen."""
+    docs = spark.createDataFrame([(k, f"Both both only{k % 2}") for k in range(40)] + [(None, None)], "doc_id long, text string")
+    model, words = fit_words(docs, F.col("doc_id") % 2 == 0, model_bytes(str(RANKS)), Scratch(spark, "t"))
+    found = {r["word"]: r["n"] for r in words.collect()}
+    assert found == {"both": 40, "only0": 20, "only1": 0} and words.count() == 3
+    assert (model.total, model.distinct, model.ends) == (80, 3, 20) and set(model.hot) == {b"both", b"only0"}
+
+
 URLS = ["http://A.Example.com/x/1?q=1#f", "https://spam.example.net/en/7", None, "no scheme", "ftp://example.org", "http://sub.example.org/es/1"]
 
 
