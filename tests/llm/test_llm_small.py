@@ -142,6 +142,42 @@ def test_texts_are_cut_as_python_cuts_bytes():
     assert [p.num_rows for p in lm.of_size([batch])] == [1, 3]
 
 
+def test_attention_between_words_has_all_ids_of_the_words_before():
+    """The gradient by differences, with inputs of several pieces; and what an id inside a word before is worth."""
+    shape = attention.Shape(12, 4, 8, 4, later=5)
+    rng = np.random.default_rng(2)
+    flat = shape.start(np.full(12, -2.5, np.float32)).astype(np.float64)
+    flat += rng.standard_normal(len(flat)) * 0.5
+    length = np.array([19, 1, 6])
+    begin = np.cumsum(length) - length
+    x, y = rng.integers(0, 12, length.sum()), rng.integers(0, 12, length.sum())
+    count = rng.integers(0, 4, length.sum())
+    more = rng.integers(12, 17, count.sum()), np.r_[0, np.cumsum(count)]
+    text, place = shape.windows(length)
+    rows, there, asked = shape.gather(begin[text], length[text], place)
+    args = (x[rows], there, asked, y[rows[:, 4:]], None, None, attention._pieces_of(rows, there, *more))
+    loss, grad = attention.loss_and_gradient(shape, flat, *args)
+    assert abs(loss + attention.scorer(shape, flat)(x, y, begin, length, more).mean()) < 1e-5
+    for k in rng.choice(len(flat), 100, replace=False):
+        up, down = flat.copy(), flat.copy()
+        up[k] += 1e-5
+        down[k] -= 1e-5
+        slope = (attention.loss_and_gradient(shape, up, *args)[0] - attention.loss_and_gradient(shape, down, *args)[0]) / 2e-5
+        assert abs(slope - grad[k]) < 1e-6
+
+    encoding = lm.tokenizer(model_bytes(str(RANKS)))
+    n = encoding.n_vocab
+    outer, inner = (lm.make_classes(shape, n - np.arange(n), 1, np.zeros(n, np.int64)) for shape in (lm.OUTER, lm.INNER))
+    flat = (rng.standard_normal(lm.OUTER.length).astype(np.float32), lm.INNER.start(inner.log_class))
+    m = lm.LanguageModel(1, 1, 1, {}, outer, inner, flat)
+    texts = [lm.pieces_of(m, *lm.encode_words(encoding, t)) for t in ([], [b"zzaz", b"and", b"so"], [b"zzbz", b"and", b"so"])]
+    assert [t.first.tolist() for t in texts][1] == texts[2].first.tolist() and texts[1].later.tolist() != texts[2].later.tolist()
+    inputs, targets, start, length, more = lm.sequences(texts)
+    assert length.tolist() == [1, 4, 4] and len(more[0]) == sum((t.later > 0).sum() for t in texts)
+    logs = attention.scorer(lm.OUTER, flat[0])(inputs, targets, start, length, more)
+    assert logs[1] == logs[5] and (abs(logs[2:4] - logs[6:8]) > 1e-6).all()  # the first word, then those after it
+
+
 def test_words_and_unseen_ones_share_a_class():
     counts = [7, 1, 1]
     by = lm.ClassWords(np.array([0, sum(counts)]), np.array([0, len(counts)]))
