@@ -33,6 +33,9 @@ from log_templates.tables import fits_broadcast
 MAX_LOOKUP_ROWS = 50_000
 MAX_LOOKUP_CHARS = 16_000_000
 SALTS = 16
+# Spark takes a table of templates for as small as its file, whatever is exploded from it; beyond the
+# bound of the lookup no such side may be sent, so its joins are told to shuffle.
+SHUFFLED = "shuffle_merge"
 
 
 def _first_word(template: Column) -> Column:
@@ -53,7 +56,7 @@ def _candidates(templates: DataFrame, by: Sequence[str], length_gate: bool) -> D
     siblings = marked.groupBy(*by, "_skeleton").agg(
         F.collect_set("event_template").alias("siblings")
     )
-    prepared = marked.join(siblings, [*by, "_skeleton"]).select(
+    prepared = marked.join(siblings.hint(SHUFFLED), [*by, "_skeleton"]).select(
         *by,
         F.struct(
             (-F.col("hits")).cast("bigint").alias("order"),
@@ -79,12 +82,12 @@ def _anchored(templates: DataFrame, by: list[str], length_gate: bool) -> DataFra
     words = templates.select(*by, "event_template", F.explode(F.array_distinct(constant)).alias("_word"))
     held = words.groupBy(*by, "_word").agg(F.count_distinct("event_template").alias("_held"))
     rarest = (
-        words.join(held, [*by, "_word"])
+        words.join(held.hint(SHUFFLED), [*by, "_word"])
         .groupBy(*by, F.col("event_template").alias("_template"))
         .agg(F.min(F.struct("_held", "_word"))["_word"].alias("_anchor"))
     )
     prepared = _candidates(templates, by, length_gate).withColumn("_template", F.col("candidate.template"))
-    return prepared.join(rarest, [*by, "_template"], "left").withColumn(
+    return prepared.join(rarest.hint(SHUFFLED), [*by, "_template"], "left").withColumn(
         "_anchor", F.coalesce("_anchor", F.lit(""))
     ).drop("_template", "_head")
 
@@ -189,7 +192,7 @@ def _match_by_shuffle(
         keyed = keyed.join(F.broadcast(known), [*by, "_n", "_anchor"], "left_semi")
     salted = candidates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     hits = (
-        keyed.join(salted, [*by, "_n", "_anchor", "_salt"])
+        keyed.join(salted.hint(SHUFFLED), [*by, "_n", "_anchor", "_salt"])
         .select(
             *by,
             id_col,
@@ -202,7 +205,7 @@ def _match_by_shuffle(
         .agg(F.min(F.struct("_order", "_tid", "_template")).alias("_best"))
         .select(*by, id_col, F.col("_best._template").alias("event_template"))
     )
-    return lines.join(hits, [*by, id_col], "left")
+    return lines.join(hits.hint(SHUFFLED), [*by, id_col], "left")
 
 
 def match_templates(

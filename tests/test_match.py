@@ -144,3 +144,12 @@ def test_a_line_is_not_shuffled_for_words_that_are_no_anchor(spark):
     assert "Join LeftSemi" in plan
     looked_up = match.match_templates(lines, templates)
     assert sorted(shuffled.collect()) == sorted(looked_up.collect())
+
+
+def test_no_table_of_templates_beyond_the_lookup_is_sent(spark, monkeypatch):
+    """Even where Spark takes its file for small: what is exploded from it is not."""
+    lines, templates = tables(spark)
+    monkeypatch.setattr(match, "fits_broadcast", lambda *_: False)
+    found = match.match_templates(lines, templates)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r["line_id"] for r in found.where("event_template is not null").collect()} == {1, 2, 3, 4}
