@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from log_templates.operators import match
 from log_templates.operators.template_index import Known, TemplateIndex, constant_words, filled
+from log_templates.tables import Scratch
 
 TEMPLATES = [
     (1, "a <*> b", "a 1 b", 3),
@@ -150,6 +151,6 @@ def test_no_table_of_templates_beyond_the_lookup_is_sent(spark, monkeypatch):
     """Even where Spark takes its file for small: what is exploded from it is not."""
     lines, templates = tables(spark)
     monkeypatch.setattr(match, "fits_broadcast", lambda *_: False)
-    found = match.match_templates(lines, templates)
+    found = match.match_templates(lines, Scratch(spark, "t").save(templates))  # of a file Spark knows the size
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert {r["line_id"] for r in found.where("event_template is not null").collect()} == {1, 2, 3, 4}
